@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..plans.problems_sql import TAG_ROWS
 from ..sources.tables import table, tag_rows
-from . import cooccur, packing, tokenizer, topn
+from . import cooccur, packing, residue, tokenizer, topn
 
 _KINDS = ("key", "tag")
 
 
-def _kind() -> F:
+def _kind():
     return F.get(F.array(*(F.lit(k) for k in _KINDS)), F.col("kind")).alias("kind")
 
 
@@ -38,7 +38,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p7_ids, p8_containers, p9_found)}
 
 _PAIRS = f"""
 WITH {TAG_ROWS},
