@@ -58,8 +58,7 @@ def dominant_keys(rows: DataFrame, per_hundred: int = 5, key: str = "key_idx", i
 
     t = materialize(key_totals(rows, key, item), "key-totals")  # one row a key; read for the sums and for the shares
     # an item belongs to one key or counts once under each, so the sum over keys is the number in use
-    sums = t.agg(F.sum("n_rows").alias("all_rows"), F.sum("n_items").alias("all_items"))
-    t = t.crossJoin(F.broadcast(sums))  # one row
-    big = lambda n, of: F.col(n) * 100 >= F.col(of) * per_hundred
-    what = F.array(F.when(big("n_rows", "all_rows"), "rows"), F.when(big("n_items", "all_items"), "slots"))
+    all_rows, all_items = t.agg(F.sum("n_rows"), F.sum("n_items")).first()
+    big = lambda n, of: F.col(n) * 100 >= F.lit((of or 0) * per_hundred)
+    what = F.array(F.when(big("n_rows", all_rows), "rows"), F.when(big("n_items", all_items), "slots"))
     return t.select(F.explode(F.array_compact(what)).alias("what"), key)

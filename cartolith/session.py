@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +78,22 @@ def release(spark: SparkSession) -> None:
             _written.remove((s, path))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; operators that run Python there call it first."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cartolith_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cartolith-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    name = Path(folder, f"{home.name}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(name))
+    sc._cartolith_shipped = True
+
+
 def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether df, at row_bytes a row, stays under limit. Reads no more rows than that takes."""
     most = max(1, limit // row_bytes)
