@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded, materialize
+from ..session import bounded, materialize, ship
 from .runs import run_lengths
 
 #: Items of a record up to which its pairs are made in one row; a larger record is split into pairs of blocks.
@@ -47,6 +47,7 @@ def count_runs(codes: DataFrame) -> DataFrame:
     by many records moves as one row per task; then runs are merged by hash of
     the code, sorted and counted again.
     """
+    ship(codes.sparkSession)
     schema, keys = "kind bigint, code bigint, n bigint", ["kind", "code"]
     s = codes.select(F.col("kind").cast("bigint").alias("kind"), "code", F.lit(1).cast("bigint").alias("n"))
     s = s.sortWithinPartitions(*keys).mapInArrow(run_lengths(keys, "n"), schema)

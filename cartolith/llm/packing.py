@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship
 from .tokenizer import VOCABULARY, vocabulary_of, worker_encoder
 
 CAPACITY = 2048
@@ -79,6 +79,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, id_col: str, text_col: str
     A text of up to `capacity` tokens is one piece, a longer one several, all
     but the last full; a text without tokens gives none.
     """
+    ship(docs.sparkSession)
     voc, kind = vocabulary_of(docs, path), dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

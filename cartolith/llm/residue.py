@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship
 
 # ---------------------------------------------------------------- placeholders
 
@@ -258,6 +258,7 @@ UNKNOWN_MOST = 2
 
 def read_texts(docs: DataFrame) -> DataFrame:
     """What the detectors see in each document with text, in one pass over whole texts; null and blank texts are left out."""
+    ship(docs.sparkSession)
     d = docs.where(F.length(F.trim("text")) > 0).select("doc_id", F.lower("host").alias("host"), "url", "text")
     return d.mapInArrow(_read, _READ)
 

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Where the public vocabularies lie unless a path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level texts are cut before merging.
@@ -156,6 +158,7 @@ def token_ids(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", t
     An empty or null text gives an empty list; every row gives one, repeated or
     null ids included.
     """
+    ship(docs.sparkSession)
     voc = vocabulary_of(docs, path)
     kind = dict(docs.dtypes)[id_col]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .runs import first_of_runs
 
 
@@ -24,6 +25,7 @@ def top_items(rows: DataFrame, group: str, order: list[Column], n: int | None, k
     left out. order must tell all rows of a group apart for a fixed result;
     ties beyond it are broken arbitrarily. n None numbers all rows.
     """
+    ship(rows.sparkSession)
     by = [F.col(group), *order]
     keep = [group, *(k for k in keep if k != group)]
     s = rows.where(F.col(group).isNotNull()).repartitionByRange(*by).sortWithinPartitions(*by)
