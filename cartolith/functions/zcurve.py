@@ -18,12 +18,12 @@ def _spread_bits(n: int) -> int:
     return sum(((n >> i) & 1) << (2 * i) for i in range(4))
 
 
-def spread(x: Column) -> Column:
-    """The bits of x, below 2**31, with a zero bit after each."""
+def spread(x: Column, bits: int = 31) -> Column:
+    """The bits of x, below 2**bits, with a zero bit after each."""
     # one foldable expression: the optimizer turns it into a constant array
     tab = F.split(F.lit(",".join(str(_spread_bits(n)) for n in range(16))), ",").cast("array<bigint>")
     out = None
-    for k in range(8):
+    for k in range(-(-bits // 4)):
         part = F.get(tab, F.shiftright(x, 4 * k).bitwiseAND(15).cast("int"))
         part = F.shiftleft(part, 8 * k) if k else part
         out = part if out is None else out.bitwiseOR(part)
@@ -48,14 +48,14 @@ def row_of(lat: Column, cell: Column | float) -> Column:
     return F.greatest(F.floor((lat + 90.0) / cell), F.lit(0).cast("bigint"))
 
 
-def interleave(x: Column, y: Column) -> Column:
-    """Z-order code of column x and row y, both below 2**31."""
-    return weave(spread(x), spread(y))
+def interleave(x: Column, y: Column, bits: int = 31) -> Column:
+    """Z-order code of column x and row y, both below 2**bits."""
+    return weave(spread(x, bits), spread(y, bits))
 
 
 def cell(lon: Column, lat: Column, level: int) -> Column:
     w = width(level)
-    return interleave(column_of(lon, w), row_of(lat, w))
+    return interleave(column_of(lon, w), row_of(lat, w), level + 1)
 
 
 def prefix(code: Column, level: int, to: int) -> Column:

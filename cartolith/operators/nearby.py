@@ -26,11 +26,11 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     """id_a < id_b of all pairs of points (id, lon, lat) at most radius degrees apart.
 
-    A point goes to its own cell and to those cells of its disc with a greater
-    code, so each pair meets in one cell only. Both sides of the self-join are
-    the same plan up to the exchange, so points are shuffled once; cells that
-    are too full are split by adaptive execution. Null or NaN places and ids
-    match nothing; equal places match; a radius below 0 matches nothing.
+    A point goes to its own cell and to those cells of its disc that come after
+    it by column and row, so each pair meets in one cell only. Both sides of the
+    self-join are the same plan up to the exchange, so points are shuffled once;
+    cells that are too full are split by adaptive execution. Null or NaN places
+    and ids match nothing; equal places match; a radius below 0 matches nothing.
     """
     spark = points.sparkSession
     if not math.isfinite(radius) or radius < 0:
@@ -39,15 +39,16 @@ def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     w, r = Z.width(level), radius + _PAD
     p = points.select("id", "lon", "lat").dropna()
     x, y = F.col("lon"), F.col("lat")
-    at = {"x": Z.column_of(x, w), "x0": Z.column_of(x - r, w), "x1": Z.column_of(x + r, w),
-          "y": Z.row_of(y, w), "y0": Z.row_of(y - r, w), "y1": Z.row_of(y + r, w)}
-    p = p.select("id", "lon", "lat", *(Z.spread(c).alias(k) for k, c in at.items()))
+    at = {"cx": Z.column_of(x, w), "cy": Z.row_of(y, w)}
     # a disc spans at most two columns and two rows, as a cell is as wide as it or wider
-    corners = F.array(*(Z.weave(F.col(cx), F.col(cy)) for cx in ("x0", "x1") for cy in ("y0", "y1")))
-    p = p.select("id", "lon", "lat", Z.weave(F.col("x"), F.col("y")).alias("own"), corners.alias("all"))
-    p = p.select("id", "lon", "lat", "own", F.explode(F.array_distinct(F.col("all"))).alias("code"))
-    p = p.where(F.col("code") >= F.col("own"))
-    p = p.select("code", "id", "lon", "lat", (F.col("code") == F.col("own")).alias("home"))
+    at |= {"ox": Z.column_of(x - r, w) + Z.column_of(x + r, w) - at["cx"], "oy": Z.row_of(y - r, w) + Z.row_of(y + r, w) - at["cy"]}
+    p = p.where(~F.isnan("lon") & ~F.isnan("lat")).select("id", "lon", "lat", *(c.alias(k) for k, c in at.items()))
+    cell = lambda cx, cy: F.struct(F.col(cx).alias("x"), F.col(cy).alias("y"))
+    east, north = F.col("ox") > F.col("cx"), F.col("oy") > F.col("cy")
+    cells = F.array(cell("cx", "cy"), F.when(east, cell("ox", "cy")), F.when(north, cell("cx", "oy")), F.when(east & (F.col("oy") != F.col("cy")), cell("ox", "oy")))
+    p = p.select("id", "lon", "lat", "cx", "cy", F.explode(F.array_compact(cells)).alias("c"))
+    home = (F.col("c.x") == F.col("cx")) & (F.col("c.y") == F.col("cy"))
+    p = p.select(Z.interleave(F.col("c.x"), F.col("c.y"), level + 1).alias("code"), "id", "lon", "lat", home.alias("home"))
     a, b = p.alias("a"), p.alias("b")
     # of both sides at once, so that no part of it is pushed below one side's exchange
     meets = F.when(F.col("b.home"), F.col("a.home") & (F.col("a.id") < F.col("b.id"))).otherwise(F.col("a.home"))

@@ -9,6 +9,7 @@ from ..operators import hierarchy as H
 from ..operators import nearby as N
 from ..operators import orphans as O
 from ..operators import skew as S
+from ..session import materialize
 from ..sources.tables import located, table, tag_rows
 
 #: Degrees within which two nodes are near.
@@ -16,7 +17,7 @@ NEAR = 0.0004
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = located(table(spark, d, "nodes"))
+    nodes = materialize(located(table(spark, d, "nodes")), "located")
     near = N.near_pairs(nodes, NEAR).select(F.lit("near").alias("kind"), "id_a", "id_b")
     box, shapes = N.zone_regions(table(spark, d, "zones"), "zone")
     discs = N.disc_regions(table(spark, d, "probe_points"), "point", "point_id", "radius_deg")
