@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.problems_sql import TAG_ROWS
+from ..session import materialize
 from ..sources.tables import table, tag_rows
 from . import cooccur, packing, residue, tokenizer, topn
 
@@ -16,14 +17,17 @@ def _kind():
     return F.get(F.array(*(F.lit(k) for k in _KINDS)), F.col("kind")).alias("kind")
 
 
+def _tag_pairs(spark: SparkSession, d: str, **least: int) -> DataFrame:
+    rows = materialize(tag_rows(table(spark, d, "tags")), "tag-rows")
+    return cooccur.item_pairs(rows, ["etype", "id"], ["key_idx", "slot"], **least)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = cooccur.tag_items(tag_rows(table(spark, d, "tags")))
-    return cooccur.item_pairs(rows, min_together=10, min_times=4).select(_kind(), "id_a", "id_b")
+    return _tag_pairs(spark, d, min_together=10, min_times=4).select(_kind(), "id_a", "id_b")
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = cooccur.tag_items(tag_rows(table(spark, d, "tags")))
-    return cooccur.with_odds(cooccur.item_pairs(rows)).select(_kind(), "id_a", "id_b", "together_count", "times", "odds_ratio")
+    return cooccur.with_odds(_tag_pairs(spark, d)).select(_kind(), "id_a", "id_b", "together_count", "times", "odds_ratio")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

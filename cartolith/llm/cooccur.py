@@ -54,49 +54,52 @@ def count_runs(codes: DataFrame) -> DataFrame:
     return s.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run_lengths(keys, "n"), schema)
 
 
-def _codes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _codes(rows: DataFrame, items: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """rows with items below 2**31; the dictionary (kind, item, code), or None where items are their own codes."""
-    lo, hi = rows.agg(F.min("item"), F.max("item")).first()
-    if lo is None or (lo >= 0 and hi < _HALF):
+    ends = rows.agg(*(f(c) for c in items for f in (F.min, F.max))).first()
+    if all(v is None or 0 <= v < _HALF for v in ends):
         return rows, None
     from .topn import top_items
 
-    ids = top_items(rows.select("kind", "item").distinct().withColumn("kind", F.col("kind").cast("bigint")), "kind", [F.asc("item")], None, ["item"])
+    both = F.array(*(F.struct(F.lit(k).cast("bigint").alias("kind"), F.col(c).alias("item")) for k, c in enumerate(items)))
+    ids = top_items(rows.select(F.inline(both)).dropna().distinct(), "kind", [F.asc("item")], None, ["item"])
     ids = materialize(ids.select("kind", "item", F.col("top_no").alias("code")), "codes")
     if ids.where(F.col("code") >= _HALF).limit(1).count():
         raise ValueError("more than 2**31 different items of one kind")
-    coded = rows.join(ids, ["kind", "item"]).select("rec", "kind", F.col("code").alias("item"))
-    return materialize(coded, "coded"), ids
+    for k, c in enumerate(items):
+        rows = rows.join(ids.where(F.col("kind") == k).select(F.col("item").alias(c), "code"), c, "left").drop(c).withColumnRenamed("code", c)
+    return materialize(rows, "coded"), ids
 
 
-def item_pairs(rows: DataFrame, min_together: int = 1, min_times: int = 0) -> DataFrame:
+def item_pairs(rows: DataFrame, rec: list[str], items: list[str], min_together: int = 1, min_times: int = 0) -> DataFrame:
     """kind, id_a < id_b, together_count, n_a, n_b, n of pairs of items of one kind in one record.
 
-    rows: rec (any type that can be grouped), kind (small integer), item
-    (BIGINT). Repeated rows count once; rows with a null are left out; n is the
-    number of distinct records, of any kind. Pairs are kept with together_count
+    rec: columns that name a record; items: BIGINT columns, one for each kind of
+    item; kind is the number of the column. Repeated items of a record count
+    once; null items are left out, rows with a null part of rec as well; n is the
+    number of distinct records with an item. Pairs are kept with together_count
     >= min_together and together_count * n >= min_times * n_a * n_b, tested in
     exact arithmetic. Items outside 0..2**31-1 get dense codes first.
     """
-    rows = rows.select("rec", F.col("kind").cast("int").alias("kind"), "item").dropna()
-    rows, ids = _codes(rows)
-    sizes = rows.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    spark = rows.sparkSession
+    rows = rows.select(*rec, *items).dropna(subset=rec).where(F.coalesce(*items).isNotNull())
+    rows, ids = _codes(rows, items)
+    sizes = rows.groupBy(*rec).agg(F.count(F.lit(1)).alias("n"))
     n, large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("n") > BLOCK)).first()
     small = rows
     if large:
-        big = materialize(sizes.where(F.col("n") > BLOCK), "large")
+        big = materialize(sizes.where(F.col("n") > BLOCK).select(F.struct(*rec).alias("rec"), "n"), "large")
         held = F.broadcast(big) if bounded(big, 64) else big
-        small = rows.join(held, "rec", "left_anti")
-    recs = small.groupBy("rec").agg(F.collect_list(F.struct("kind", "item")).alias("all"))
-    kinds = [r[0] for r in rows.select("kind").distinct().collect()]
-    of = lambda k: F.array_sort(F.array_distinct(F.transform(F.filter("all", lambda s: s["kind"] == k), lambda s: s["item"])))
-    arrays = recs.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), of(k).alias("items")) for k in kinds)))) if kinds else None
-    if arrays is None:
-        return rows.sparkSession.createDataFrame([], "kind int, id_a bigint, id_b bigint, together_count bigint, n_a bigint, n_b bigint, n bigint")
-    arrays = arrays.where(F.size("items") > 0)
+        named = rows.withColumn("rec", F.struct(*rec))
+        small = named.join(held, "rec", "left_anti")
+    sets = small.groupBy(*rec).agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in items)).select(*items)
+    sets = materialize(sets, "sets")
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("items")) for k, c in enumerate(items)))
+    arrays = sets.select(F.inline(each)).where(F.size("items") > 0)
     codes, single = _pairs_of(arrays), arrays.select("kind", F.explode("items").alias("item"))
     if large:
-        lrows = rows.join(held, "rec", "left_semi")
+        one = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("item")) for k, c in enumerate(items)))
+        lrows = named.join(held, "rec", "left_semi").select("rec", F.inline(one)).dropna()
         codes = codes.unionByName(_pairs_of_large(lrows, big))
         single = single.unionByName(lrows.distinct().select("kind", "item"))
     counts = single.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_together)
@@ -107,8 +110,8 @@ def item_pairs(rows: DataFrame, min_together: int = 1, min_times: int = 0) -> Da
     pairs = pairs.join(counts.select("kind", F.col("item").alias("id_b"), F.col("n").alias("n_b")), ["kind", "id_b"])
     pairs = pairs.withColumn("n", F.lit(n).cast("bigint"))
     if min_times:
-        big_n = lambda c: F.col(c).cast("decimal(19,0)")
-        pairs = pairs.where(big_n("together_count") * big_n("n") >= (F.col("n_a").cast("decimal(17,0)") * F.col("n_b").cast("decimal(17,0)") * min_times))
+        exact = lambda c, p: F.col(c).cast(f"decimal({p},0)")
+        pairs = pairs.where(exact("together_count", 18) * exact("n", 18) >= exact("n_a", 17) * exact("n_b", 17) * F.lit(min_times))
     if ids is not None:
         ids = ids.withColumn("kind", F.col("kind").cast("int"))
         for c in ("id_a", "id_b"):
@@ -121,10 +124,3 @@ def with_odds(pairs: DataFrame) -> DataFrame:
     c, a, b, n = (F.col(x).cast("double") for x in ("together_count", "n_a", "n_b", "n"))
     odds = ((c + 0.5) * (n - a - b + c + 0.5)) / ((a - c + 0.5) * (b - c + 0.5))
     return pairs.withColumn("times", (c * n) / (a * b)).withColumn("odds_ratio", odds)
-
-
-def tag_items(tag_rows: DataFrame) -> DataFrame:
-    """rec, kind (0 key, 1 tag), item of tag rows (etype, id, key_idx, slot), saved as it is read several times."""
-    t = materialize(tag_rows, "tag-rows")
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("key_idx").alias("item")), F.struct(F.lit(1).alias("kind"), F.col("slot").alias("item")))
-    return t.select(F.struct("etype", "id").alias("rec"), F.inline(both))
