@@ -25,12 +25,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(hit.select("kind", F.col("rid").alias("id_a"), F.col("id").alias("id_b")))
 
 
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(tag_rows(table(spark, d, "tags")).select("key_idx", "slot"), "tag-rows")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return S.dominant_keys(tag_rows(table(spark, d, "tags")))
+    return S.dominant_keys(_tags(spark, d))
 
 
 def p4_key_totals(spark: SparkSession, d: str) -> DataFrame:
-    return S.key_totals(tag_rows(table(spark, d, "tags")))
+    return S.key_totals(_tags(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
