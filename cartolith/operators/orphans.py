@@ -89,6 +89,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def lazy(df: DataFrame, _: str) -> DataFrame:
+    return df
+
+
 @dataclass
 class OrphanState:
     """Targets, references and pending orphans after some batches; each part is a written table."""
@@ -98,25 +102,25 @@ class OrphanState:
     pending: DataFrame
 
     @classmethod
-    def start(cls, targets: DataFrame, refs: DataFrame, keep: bool = True) -> OrphanState:
-        """State after a first batch of versions. keep=False leaves it lazy, where no batch follows."""
-        save = materialize if keep else (lambda df, _: df)
+    def start(cls, targets: DataFrame, refs: DataFrame, save=materialize) -> OrphanState:
+        """State after a first batch of versions. save=lazy leaves it unwritten, where no batch follows."""
         t, r = save(merge_targets(targets), "targets"), save(merge_references(refs), "refs")
         return cls(t, r, save(probe(r, t), "pending"))
 
-    def apply(self, targets: DataFrame, refs: DataFrame) -> OrphanState:
+    def apply(self, targets: DataFrame, refs: DataFrame, save=materialize) -> OrphanState:
         """State after one more batch of versions, in any order of edits and arrivals.
 
-        An empty batch changes nothing, a repeated one neither.
+        An empty batch changes nothing, a repeated one neither. save writes a
+        table under a name and gives it back.
         """
-        t = materialize(merge_targets(self.targets.unionByName(targets.select(*_TARGET, "visible", "edited", "arrived"))), "targets")
-        r = materialize(merge_references(self.refs.unionByName(refs.select(*self.refs.columns))), "refs")
+        t = save(merge_targets(self.targets.unionByName(targets.select(*_TARGET, "visible", "edited", "arrived"))), "targets")
+        r = save(merge_references(self.refs.unionByName(refs.select(*self.refs.columns))), "refs")
         moved = targets.select("kind", F.col("id").alias("ref")).distinct()
         touched = r.join(refs.select(*_REF).distinct(), _REF, "left_semi").select(*r.columns)
         woken = r.join(moved, ["kind", "ref"], "left_semi").select(*r.columns)
-        again = materialize(touched.unionByName(woken).dropDuplicates(_REF), "touched")
+        again = save(touched.unionByName(woken).dropDuplicates(_REF), "touched")
         left = self.pending.join(again.select(*_REF), _REF, "left_anti")
-        return OrphanState(t, r, materialize(left.unionByName(probe(again, t)), "pending"))
+        return OrphanState(t, r, save(left.unionByName(probe(again, t)), "pending"))
 
     def snapshot(self) -> DataFrame:
         """Pending orphans by table, month of the reference's edit, and reason: tab, period, reason, n."""
@@ -147,10 +151,10 @@ def orphans(spark: SparkSession, root: str, epochs: int = 2) -> DataFrame:
     """
     t, r = all_versions(spark, root)
     if epochs <= 1:
-        return named(OrphanState.start(t, r, keep=False).pending)
+        return named(OrphanState.start(t, r, lazy).pending)
     lo, hi = t.agg(F.min("arrived"), F.max("arrived")).first()
     if lo is None:
-        return named(OrphanState.start(t, r, keep=False).pending)
+        return named(OrphanState.start(t, r, lazy).pending)
     cuts = [lo + (hi - lo) * k // epochs for k in range(1, epochs)]
     nth = lambda c: sum(((F.coalesce(F.col(c), F.lit(_NEVER)) > x).cast("int") for x in cuts), F.lit(0))
     state = OrphanState.start(t.where(nth("arrived") == 0), r.where(nth("loaded") == 0))

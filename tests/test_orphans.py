@@ -62,7 +62,7 @@ def brute(spark, root):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("epochs", [1, 2, 5])
+@pytest.mark.parametrize("epochs", [1, 3])
 def test_batches_do_not_matter(spark, messy, epochs):
     got = sorted(map(tuple, O.orphans(spark, messy, epochs).collect()), key=repr)
     assert got == brute(spark, messy)
