@@ -37,7 +37,7 @@ FIELDS = re.compile(rf"""
   | (?<![\w?])\?\?\?(?![\w?]) | \bi18n:[\w.]+ | (?<![\w./@:])(?!www\.|m\.|maps\.)[a-z]\w*\.[A-Za-z]\w*\.(?:label|text|title|name|msg|message|key|value|caption|heading|hint)\b
 """, re.X)
 #: Program values that stand for a missing one.
-VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|None)(?![\w'\"-])(?!\.\w)(?!\ (?:of|Grad|Uhr|Prozent|Euro|Komma)\b)")
+VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|(?<=:\ )None)(?![\w'\"-])(?!\.\w)(?!\ (?:of|Grad|Uhr|Prozent|Euro|Komma)\b)")
 _MAYBE = re.compile(r"[{«@]|\[[A-Za-z\[]|<[%?A-Za-z]|&lt;[%?]|&#123|%[\w(%]|\$[{A-Za-z]|#[{A-Za-z]|\*\||:\w[\w.]*:|__|\?\?\?|undefined|null|NaN|None|i18n|[a-z]\.\w+\.[a-z]")
 #: Words before a program value that make it a word of the sentence.
 _PROSE = frozenset("and or the a an is are was were not no with und oder ein eine et ou un une y o el la".split())
@@ -46,6 +46,8 @@ _MENTION = re.compile(
     r"\b(?:example|examples|exemple|ejemplo|beispiel|template|templates|vorlage|gabarit|plantilla|manual|handbuch|manuel|variables?|"
     r"placeholders?|braces|brackets|syntax|merge fields?|lesson|code sample|method|function|string|in older files|the mark was|"
     r"escriba|schreiben sie|[eé]?crivez|the page then shows|in the margin|menge|ensemble|conjunto|interval)\b", re.I)
+#: Lines of program logs: what they show belongs to the program, not to a page.
+_LOG = re.compile(r"^\s*(?:warning: \w+\(|fatal: |notice: |#\d+ |at \w[\w.$]*\()", re.I)
 _QUOTES = {'"': '"', "“": "”", "„": "“", "`": "`", "'": "'", "‘": "’", "«": "»", "?": "?"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -60,7 +62,7 @@ def shows_field(text: str) -> bool:
     if not _MAYBE.search(text):
         return False
     for s in _SENTENCE.split(text):
-        if not _MAYBE.search(s):
+        if not _MAYBE.search(s) or _LOG.match(s):
             continue
         hits = [(m.start(), m.end()) for m in FIELDS.finditer(s)]
         for m in VALUES.finditer(s):
@@ -107,7 +109,7 @@ der die das ein eine einen diese dieser dieses ihr ihre ihren ihres sie sich uns
 kann haben hat nicht nichts kein keine mehr bitte leider ohne wegen neu später erneut bald zurück zurzeit bis etwas
 le la les un une des du de ce cette ces votre vos notre nous vous que qui est sont a été à au aux et ou pour par dans sans pas plus plus tard n’a n’est n’avez avez l’accueil d’ merci désolé veuillez en
 el los las una unos este esta estos su sus nuestro no se ha han ya y o que en con sin por favor para de del lo al más tarde sentimos gracias""")
-_PAGE = _words("""page pages site website app application document file address adress link links start search content contents service server servers shop domain account session seite seiten angebot anwendung dokument adresse
+_PAGE = _words("""page pages site website app application document file address adress link links start search content contents service server servers shop domain account session portal platform forum store tool system seite seiten angebot anwendung dokument adresse
 startseite inhalt inhalte dienst sitzung server datenbank shop konto page site document l’adresse adresse lien contenu contenus service serveur session base boutique application serveur compte página sitio documento dirección enlace contenido contenidos
 servicio servidor sesión base datos tienda aplicación inicio catalogue map menu gallery list table calendar karte katalog kalender catálogo mapa carte calendrier""")
 _ERROR = _words("""error errors code id http internal bad gateway request requests wrong went failed failure forbidden unavailable found exist exists longer such nothing absent denied refused access allowed permission permitted rights view see
@@ -120,7 +122,7 @@ erreur interne code accès refusé interdit autorisation droits nécessaires int
 réessayer vérifiez retour connexion impossible délai dépassé indisponible disponible erreur trouvée momentanément requêtes
 error interno código acceso denegado prohibido permiso tiene ver existe encuentra encontrada disponible pedida solicitada busca inexistente fallado algo recargue caducado entre nuevo iniciar sesión mantenimiento volvemos pronto paciencia
 inténtelo conexión hay tiempo agotado revise momento temporalmente volver demasiadas solicitudes siguiente movida eliminada""")
-_SCRIPT = _words("""javascript scripts script scripting noscript enable enabled disabled enabling turn turned switch switched activate allow allowed blocks blocked must need needs needed required requires use used using view open run runs work works load loading loaded just moment wait happens
+_SCRIPT = _words("""javascript d’activer d’utiliser continuer continuar fortzufahren fortfahren weiter desactivado scripts script scripting noscript enable enabled disabled enabling turn turned switch switched activate allow allowed blocks blocked must need needs needed required requires use used using view open run runs work works load loading loaded just moment wait happens continue proceed display render
 cookies browser browsers drawn stays empty checking verifying verify let supported outdated old out date install current one update upgrade human started
 skripte skripten javascript aktivieren aktiviert einschalten schalten ein nutzen benutzen funktioniert angezeigt anzeigen zeigt braucht benötigt browser geprüft überprüft augenblick veraltet aktuellen unterstützt deaktiviert
 javascript scripts activez activer activé afficher utiliser ouvrir fonctionne navigateur vérification instant trop ancien désactivé nécessaire requis patientez chargement ne
