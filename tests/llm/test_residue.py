@@ -7,10 +7,10 @@ FIELD = ["Welcome to {{city}}!", "Only undefined left in stock", "Dear [object O
          "A fine day.\nOpening hours of msg.userName.label: see below.\nMore text.", "Von :company: am *|SLOT|*", "Welcome to ???!", "Noch __PRICE__ verfügbar", "Hello ${count}, {0} new"]
 NOT_FIELD = ['Example: "{{ x }}" turns into "Anna".', "Write `%HEADER%` where the name should appear.", "The set {1, 2, 3} and the interval [0, 1] appear on page 6.", "Write to info [at] the address.",
              "She wrote [sic] in the margin and added note [12].", "Mail merge fields like [FIRST NAME] are explained in lesson 5.", "Undefined borders were drawn, and null results went into the appendix.",
-             "The manual writes ${total} for a variable and {0} for the first argument.", "It is 50 % off at 9:15, see www.shop.example", "None of the ferries ran.", "", "Le manuel cite « {{ titre }} » comme exemple de variable de gabarit."]
+             "The manual writes ${total} for a variable and {0} for the first argument.", "It is 50 % off at 9:15, see www.shop.example", "None of the ferries ran.", "Why the hill measures the lake is a question for None.", "Warning: db_fetch() expects parameter 1 to be array, null given in /srv/a/b.inc on line 3", "", "Le manuel cite « {{ titre }} » comme exemple de variable de gabarit."]
 EMPTY = ["Tadazu valley\n\nThis session has timed out. Start over.", "Home | Search | Login\nHill path\nPage not found\nAll rights reserved", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.",
          "Ihr Browser wird geprüft ...", "Désolé, la page demandée est introuvable.", "DÃ©solÃ©, la page demandÃ©e est introuvable.", "Acceso denegado", "TODO: write intro\nYour text here.",
-         "Please enable JavaScript to view this page.", "Error 404", "Fatal: uncaught QueryError in /srv/a/core.inc:8\n#0 /srv/a/run.inc(7): render()\n#1 {main}", "blah asdf foo bar"]
+         "Please enable JavaScript to view this page.", "Error 404", "This portal will not run in this browser.", "Merci d’activer JavaScript pour afficher ce site.", "Fatal: uncaught QueryError in /srv/a/core.inc:8\n#0 /srv/a/run.inc(7): render()\n#1 {main}", "blah asdf foo bar"]
 REAL = ["The bridge is closed for maintenance until spring; walkers take the lower path.", "Closed on Mondays.", "Access to the tower is denied to dogs.", "The harbour of Tova lies near the second gate.",
         "Blindtext war früher in Druckereien üblich, heißt es im Museum.", "Old mill\nSome features of this page work better with JavaScript switched on.\nThe mill grinds on Sundays.",
         "Error 404 is explained in chapter 5 of the guide.", "Home | Search | Login", ""]
