@@ -13,20 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, saved
 from ..sources.tables import current, member_kind, table
 
 
-def _saved(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict]:
-    """df written once, with aggregates observed while writing."""
-    seen = Observation()
-    out = materialize(df.observe(seen, *(F.coalesce(c, F.lit(0)).alias(k) for k, c in (counts or {"n": F.count(F.lit(1))}).items())), name)
-    return out, seen.get
-
-
 def relation_links(spark, root: str) -> DataFrame:
     """Distinct parent, child of current members of type relation whose ends both have a current, visible row."""
     m = table(spark, root, "members").withColumn("kind", member_kind(F.col("mtype")))
@@ -55,12 +48,12 @@ def peel(links: DataFrame, up: bool = True, lists: bool = False) -> Peeled:
     """
     end, other = ("child", "parent") if up else ("parent", "child")
     rounds, below = [], None
-    rest, n = _saved(links, "links")
+    rest, n = saved(links, "links")
     left = n["n"]
     while left:
         inner = rest.select(F.col(other).alias(end)).distinct().withColumn("inner", F.lit(True))
         marked = rest.join(inner, end, "left").select("parent", "child", F.col("inner").isNull().alias("ends"))
-        marked, n = _saved(marked, "peel", ends=F.count_if("ends"), left=F.count_if(~F.col("ends")))
+        marked, n = saved(marked, "peel", ends=F.count_if("ends"), left=F.count_if(~F.col("ends")))
         if not n["ends"]:
             break
         got = marked.where("ends").select("parent", "child")
@@ -88,7 +81,7 @@ def _spread_max(nodes: DataFrame, links: DataFrame) -> DataFrame:
         sent = links.join(color.select(F.col("node").alias("parent"), "color"), "parent").select(F.col("child").alias("node"), "color")
         best = sent.groupBy("node").agg(F.max("color").alias("got"))
         nxt = color.join(best, "node", "left").select("node", F.greatest("color", "got").alias("color"), (F.col("got") > F.col("color")).alias("moved"))
-        color, n = _saved(nxt, "color", moved=F.count_if("moved"))
+        color, n = saved(nxt, "color", moved=F.count_if("moved"))
         color = color.select("node", "color")
         if not n["moved"]:
             return color
@@ -96,11 +89,11 @@ def _spread_max(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _reach(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """node of everything that seeds (node) reach by links (parent to child), with the seeds."""
-    front, n = _saved(seeds.select("node").distinct(), "front")
+    front, n = saved(seeds.select("node").distinct(), "front")
     seen = front
     while n["n"]:
         nxt = links.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        front, n = _saved(nxt.join(seen, "node", "left_anti"), "front")
+        front, n = saved(nxt.join(seen, "node", "left_anti"), "front")
         seen = materialize(seen.unionByName(front), "seen") if n["n"] else seen
     return seen
 
@@ -141,11 +134,11 @@ def chains(links: DataFrame) -> DataFrame:
     """node, path (array from the top to the node) of each distinct chain; links must be without loops."""
     children = links.select(F.col("child").alias("node")).distinct()
     top = links.select(F.col("parent").alias("node")).distinct().join(children, "node", "left_anti")
-    front, n = _saved(top.select("node", F.array("node").alias("path")), "chain")
+    front, n = saved(top.select("node", F.array("node").alias("path")), "chain")
     out = [front]
     while n["n"]:
         nxt = front.select(F.col("node").alias("parent"), "path").join(links, "parent")
-        front, n = _saved(nxt.select(F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path")), "chain")
+        front, n = saved(nxt.select(F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path")), "chain")
         if n["n"]:
             out.append(front)
     res = out[0]

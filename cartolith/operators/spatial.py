@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..model import Dataset
-from ..session import materialize
+from ..session import materialize, saved
 
 _NONE = "id bigint"
 
@@ -53,9 +53,11 @@ class Spatial:
         links = links.join(self.data.relations.select(F.col("id").alias("next")), "next", "left_semi")
         links = materialize(links.select("rel", "next"), "links")
         seen = front = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("rel")).distinct(), "roots")
-        while not front.isEmpty():
+        while True:
             nxt = front.join(links, "rel").select("root", F.col("next").alias("rel")).distinct()
-            front = materialize(nxt.join(seen, ["root", "rel"], "left_anti"), "front")
+            front, n = saved(nxt.join(seen, ["root", "rel"], "left_anti"), "front")
+            if not n["n"]:
+                break
             seen = materialize(seen.unionByName(front), "seen")
         m = self.data.members.where("kind in (0, 1) and ref_id is not null").select(F.col("rel_id").alias("rel"), "kind", "ref_id").distinct()
         return seen.join(m, "rel").select("root", "kind", "ref_id").distinct()
@@ -95,23 +97,30 @@ class Spatial:
     def _nothing(self) -> DataFrame:
         return self.spark.createDataFrame([], _NONE)
 
-    def _hit_segments(self, shape) -> DataFrame:
-        """Segments of ways whose box meets the shape's, then those that touch it."""
+    def _near(self, shape):
+        """Whether a segment's box comes within a unit of the shape's: cheap, and true of all that touch."""
         x0, y0, x1, y1 = (c * G.SCALE for c in shape.box.sides)
-        s = self.segments.where((F.greatest("ax", "bx") >= x0 - 1) & (F.least("ax", "bx") <= x1 + 1) & (F.greatest("ay", "by") >= y0 - 1) & (F.least("ay", "by") <= y1 + 1))
-        return s.where(shape.segment(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))
+        return (F.greatest("ax", "bx") >= x0 - 1) & (F.least("ax", "bx") <= x1 + 1) & (F.greatest("ay", "by") >= y0 - 1) & (F.least("ay", "by") <= y1 + 1)
 
-    def nodes_touching(self, shape) -> DataFrame:
-        if not shape.valid:
-            return self._nothing()
+    def _hit_segments(self, shape) -> DataFrame:
+        return self.segments.where(self._near(shape)).where(shape.segment(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))
+
+    def _nodes(self, shape) -> DataFrame:
         n = self.data.nodes.where(shape.box.has_point(F.col("lon"), F.col("lat")))
-        return n.where(shape.point(F.col("lon"), F.col("lat"))).select("id")
+        return n.where(shape.point(F.col("lon"), F.col("lat")))
+
+    def _ways(self, shape, *more) -> DataFrame:
+        """Ways that touch the shape and whose box meets its box, in one pass over the segments."""
+        hit = F.max(F.when(self._near(shape), shape.segment(*(F.col(c) for c in ("ax", "ay", "bx", "by")))).otherwise(False))
+        box = [F.min(F.least("ax", "bx")).alias("min_lon"), F.min(F.least("ay", "by")).alias("min_lat"), F.max(F.greatest("ax", "bx")).alias("max_lon"), F.max(F.greatest("ay", "by")).alias("max_lat")]
+        w = self.segments.groupBy(F.col("way_id").alias("id")).agg(hit.alias("hit"), *box, *more)
+        return w.where(F.col("hit") & shape.box.overlaps(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))))
+
+    def nodes_touching(self, shape) -> DataFrame:
+        return self._nodes(shape).select("id") if shape.valid else self._nothing()
 
     def ways_touching(self, shape) -> DataFrame:
-        if not shape.valid:
-            return self._nothing()
-        touched = self._hit_segments(shape).select(F.col("way_id").alias("id")).distinct()
-        return touched.join(self.ways_in_bbox(shape.box), "id", "left_semi")
+        return self._ways(shape).select("id") if shape.valid else self._nothing()
 
     def relations_touching(self, shape) -> DataFrame:
         if not shape.valid:
@@ -152,10 +161,15 @@ class Spatial:
         shape = G.Radius(lon, lat, radius)
         if not shape.valid:
             return self.spark.createDataFrame([], "id bigint, d2 double")
-        hit = self.touching(etype, shape)
-        d = {"node": self._node_dist, "way": self._way_dist}.get(etype)
-        dist = d(*shape.center) if d else self._relation_dist(*shape.center, hit)
-        return dist.join(hit, "id", "left_semi").select("id", F.col("d2").cast("double").alias("d2"))
+        x, y = (F.lit(c).cast("bigint") for c in shape.center)
+        if etype == "node":
+            return self._nodes(shape).select("id", G.dist_sq(x, y, F.col("lon"), F.col("lat")).cast("double").alias("d2"))
+        if etype == "way":
+            # the nearest segment of a way that is touched is near itself
+            d = G.segment_dist_sq(x, y, *(F.col(c) for c in ("ax", "ay", "bx", "by")))
+            return self._ways(shape, F.min(F.when(self._near(shape), d)).alias("d2")).select("id", "d2")
+        hit = materialize(self.relations_touching(shape), "hit")
+        return self._relation_dist(*shape.center, hit).select("id", "d2")
 
     def nearest(self, etype: str, lon: float, lat: float, k: int) -> DataFrame:
         """The k nearest elements, ties by id: one pass with a bounded heap in each task."""

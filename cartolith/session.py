@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of rows a side may have before it is no longer broadcast.
 BROADCAST_LIMIT = 32 << 20
@@ -68,6 +69,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """df materialized, and aggregates observed while it was written (n, its rows, unless others are given)."""
+    seen = Observation()
+    wanted = counts or {"n": F.count(F.lit(1))}
+    out = materialize(df.observe(seen, *(F.coalesce(c, F.lit(0)).alias(k) for k, c in wanted.items())), name)
+    return out, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables this session wrote; call when results are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
