@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, saved
+from ..session import materialize, saved, together
 from ..sources.tables import current, member_kind, table
 
 
@@ -47,7 +47,7 @@ def peel(links: DataFrame, up: bool = True, lists: bool = False) -> Peeled:
     parents; below then holds (node, below) of all nodes without a loop under them.
     """
     end, other = ("child", "parent") if up else ("parent", "child")
-    rounds, below = [], None
+    rounds, lists_sent = [], []
     rest, n = saved(links, "links")
     left = n["n"]
     while left:
@@ -60,14 +60,14 @@ def peel(links: DataFrame, up: bool = True, lists: bool = False) -> Peeled:
         rounds.append(got)
         if lists:
             sent = got.select(F.col("parent").alias("node"), F.col("child").alias("below"))
-            if below is not None:
-                deeper = below.select(F.col("node").alias("child"), "below").join(got, "child").select(F.col("parent").alias("node"), "below")
-                sent = sent.unionByName(deeper)
-                # lists meet where a node is reached in several ways: kept once
-                below = materialize(below.unionByName(sent).distinct(), "below")
-            else:
-                below = materialize(sent, "below")
+            if lists_sent:
+                # the list of a node is whole once it is peeled itself
+                known = together(lists_sent).select(F.col("node").alias("child"), "below")
+                sent = sent.unionByName(known.join(got, "child").select(F.col("parent").alias("node"), "below"))
+            lists_sent.append(materialize(sent.distinct(), "below"))
         rest, left = marked.where("not ends").select("parent", "child"), n["left"]
+    # a node reached in several ways is in lists of several rounds
+    below = together(lists_sent).distinct() if lists_sent else None
     if below is not None and left:
         # lists of nodes that were not peeled lack what is behind the loop
         below = below.join(rest.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
@@ -141,10 +141,7 @@ def chains(links: DataFrame) -> DataFrame:
         front, n = saved(nxt.select(F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path")), "chain")
         if n["n"]:
             out.append(front)
-    res = out[0]
-    for f in out[1:]:
-        res = res.unionByName(f)
-    return res
+    return together(out)
 
 
 def hierarchy(links: DataFrame) -> DataFrame:

@@ -158,6 +158,19 @@ class Taginfo:
 
     # pages
 
+    def key_page(self, key: str, n: int) -> DataFrame:
+        """rank, value, total of a key's n most common values, after the key's own total (rank 0, null value)."""
+        own = self.value_stats.where(F.col("key") == key).agg(F.sum("total").alias("total"))
+        own = own.select(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"), "total")
+        return own.unionByName(self.values_by_count(key, n).select("rank", "value", "total"))
+
+    def combination_page(self, key: str, n: int, value: str | None = None) -> DataFrame:
+        """The n keys (with a value, tags) that most often go with a key (a tag); ties by key and value."""
+        if value is None:
+            return self.key_combinations().where(F.col("key") == key).orderBy(F.desc("together_count"), "other_key").limit(n)
+        c = self.tag_combinations().where((F.col("key") == key) & (F.col("value") == value))
+        return c.orderBy(F.desc("together_count"), "other_key", "other_value").limit(n)
+
     def examples(self, key: str, value: str, n: int) -> DataFrame:
         """etype, id, more: the first n ids of each type with key=value, and how many there are beyond."""
         t = self.tags.where((F.col("key") == key) & (F.col("value") == value)).select("etype", "id").distinct()

@@ -58,6 +58,9 @@ QUERIES = {
     "key_combos": lambda s, d: _info(s, d).key_combinations(),
     "tag_combos": lambda s, d: _info(s, d).tag_combinations(),
     "kv_examples": lambda s, d: _info(s, d).examples(KEY, VALUE, 5),
+    "key_page": lambda s, d: _info(s, d).key_page(KEY, 5),
+    "key_combo_page": lambda s, d: _info(s, d).combination_page(KEY, 8),
+    "tag_combo_page": lambda s, d: _info(s, d).combination_page(KEY, 8, VALUE),
     "way_labels": lambda s, d: _info(s, d).labels("way"),
     # text search
     "substring_all": lambda s, d: _info(s, d).values_containing(PATTERN),
@@ -77,6 +80,7 @@ QUERIES = {
     "rels_with_node": lambda s, d: _back(s, d).parents("node"),
     "rels_with_way": lambda s, d: _back(s, d).parents("way"),
     "rels_with_relation": lambda s, d: _back(s, d).parents("relation"),
+    "backrefs_page": lambda s, d: backrefs_page(s, d),
     # places
     "nodes_bbox": lambda s, d: _space(s, d).nodes_in_bbox(_box),
     "ways_bbox": lambda s, d: _space(s, d).ways_in_bbox(_box),
@@ -117,6 +121,13 @@ def _degrees(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(spark, d).nodes.select("id", G.degrees(F.col("lon")).alias("lon"), G.degrees(F.col("lat")).alias("lat"))
 
 
+def backrefs_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page of the node with the smallest id among those in ways."""
+    b = _back(spark, d)
+    node = b.node_ways.agg(F.min("child")).first()[0]
+    return b.page(-1 if node is None else node, 3)
+
+
 def ring_areas(spark: SparkSession, d: str) -> DataFrame:
     """rel_id, ring_no and signed area of the rings as once assembled, to a tenth of a square metre."""
     from ..sources.tables import current, table

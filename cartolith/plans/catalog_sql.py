@@ -172,6 +172,10 @@ SQL = {
     "tag_combos": _combos(["key", "value"]),
     "kv_examples": _with("t") + f"""SELECT etype, id, greatest(c - 5, 0) AS more FROM (SELECT etype, id, row_number() OVER (PARTITION BY etype ORDER BY id) AS k, count(*) OVER (PARTITION BY etype) AS c
   FROM (SELECT DISTINCT etype, id FROM t WHERE key = '{KEY}' AND value = '{VALUE}')) WHERE k <= 5""",
+    "key_page": _with("vs") + f"""SELECT 0 AS rank, NULL::VARCHAR AS value, sum(total)::BIGINT AS total FROM vs WHERE key = '{KEY}'
+  UNION ALL SELECT rank, value, total FROM (SELECT value, total, row_number() OVER (ORDER BY total DESC, value)::INTEGER AS rank FROM vs WHERE key = '{KEY}') WHERE rank <= 5""",
+    "key_combo_page": "SELECT * FROM (" + _combos(["key"]) + f") WHERE key = '{KEY}' ORDER BY together_count DESC, other_key LIMIT 8",
+    "tag_combo_page": "SELECT * FROM (" + _combos(["key", "value"]) + f") WHERE key = '{KEY}' AND value = '{VALUE}' ORDER BY together_count DESC, other_key, other_value LIMIT 8",
     "way_labels": _with("t") + """SELECT id, coalesce(min(value) FILTER (WHERE key = 'name'), 'highway=' || min(value) FILTER (WHERE key = 'highway'), 'building=' || min(value) FILTER (WHERE key = 'building'),
   'type=' || min(value) FILTER (WHERE key = 'type'), 'amenity=' || min(value) FILTER (WHERE key = 'amenity'), '(no descriptive tags)') AS label FROM t WHERE etype = 'way' GROUP BY id""",
     "substring_all": _with("d") + f"SELECT DISTINCT key, value FROM d WHERE contains({_fold('value')}, 'place')",
@@ -190,6 +194,12 @@ SQL = {
     "rels_with_node": _parents("node", "n"),
     "rels_with_way": _parents("way", "w"),
     "rels_with_relation": _parents("relation", "r"),
+    "backrefs_page": _with("wr", "n", "m", "t", more="x AS (SELECT min(node_id) AS node FROM wr WHERE node_id IN (SELECT id FROM n))") + """SELECT what, p.id, coalesce(min(value) FILTER (WHERE key = 'name'),
+  'highway=' || min(value) FILTER (WHERE key = 'highway'), 'building=' || min(value) FILTER (WHERE key = 'building'), 'type=' || min(value) FILTER (WHERE key = 'type'),
+  'amenity=' || min(value) FILTER (WHERE key = 'amenity'), '(no descriptive tags)') AS label, greatest(max(c) - 3, 0)::INTEGER AS more
+FROM (SELECT *, row_number() OVER (PARTITION BY what ORDER BY id) AS k, count(*) OVER (PARTITION BY what) AS c FROM (
+  SELECT DISTINCT 'way' AS what, way_id AS id FROM wr, x WHERE node_id = x.node UNION SELECT 'relation', rel_id FROM m, x WHERE kind = 'node' AND ref_id = x.node)) p
+LEFT JOIN t ON t.etype = p.what AND t.id = p.id WHERE k <= 3 GROUP BY what, p.id""",
     "nodes_bbox": _with("n") + f"SELECT id FROM n WHERE {_in_box(BOX)}",
     "ways_bbox": _with("wb") + f"SELECT id FROM wb WHERE {_over_box(BOX)}",
     "rels_bbox": _with("r") + f"SELECT id FROM r WHERE {_over_box(BOX)}",

@@ -66,7 +66,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/cartolith/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cartolith_path = path
+    return out
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    """The rows of several materialized tables of one schema, in one scan."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*(f._cartolith_path for f in frames))
 
 
 def saved(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
