@@ -40,19 +40,18 @@ class Peeled:
     below: DataFrame | None = None
 
 
-def peel(links: DataFrame, up: bool = True, lists: bool = False) -> Peeled:
-    """Peel links from the bottom (up=True) or the top, round by round.
+def peel(links: DataFrame, lists: bool = False) -> Peeled:
+    """Peel links from the bottom, round by round.
 
     With lists=True each peeled node sends the distinct nodes below it to its
     parents; below then holds (node, below) of all nodes without a loop under them.
     """
-    end, other = ("child", "parent") if up else ("parent", "child")
     rounds, lists_sent = [], []
     rest, n = saved(links, "links")
     left = n["n"]
     while left:
-        inner = rest.select(F.col(other).alias(end)).distinct().withColumn("inner", F.lit(True))
-        marked = rest.join(inner, end, "left").select("parent", "child", F.col("inner").isNull().alias("ends"))
+        inner = rest.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+        marked = rest.join(inner, "child", "left").select("parent", "child", F.col("inner").isNull().alias("ends"))
         marked, n = saved(marked, "peel", ends=F.count_if("ends"), left=F.count_if(~F.col("ends")))
         if not n["ends"]:
             break
@@ -90,12 +89,27 @@ def _spread_max(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _reach(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """node of everything that seeds (node) reach by links (parent to child), with the seeds."""
     front, n = saved(seeds.select("node").distinct(), "front")
-    seen = front
+    fronts = [front]
     while n["n"]:
         nxt = links.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        front, n = saved(nxt.join(seen, "node", "left_anti"), "front")
-        seen = materialize(seen.unionByName(front), "seen") if n["n"] else seen
-    return seen
+        front, n = saved(nxt.join(together(fronts), "node", "left_anti"), "front")
+        if n["n"]:
+            fronts.append(front)
+    return together(fronts)
+
+
+def trim(links: DataFrame) -> tuple[DataFrame, int]:
+    """What is left of links when those are peeled, from both ends at once, that begin at a top or end at a leaf; and its number."""
+    rest, n = saved(links, "links")
+    left = n["n"]
+    while left:
+        kept = rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        kept = kept.join(rest.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        rest, n = saved(kept.select("parent", "child"), "trim")
+        if n["n"] == left:
+            break
+        left = n["n"]
+    return rest, left
 
 
 def loops(links: DataFrame) -> DataFrame:
@@ -104,10 +118,9 @@ def loops(links: DataFrame) -> DataFrame:
     found = []
     rest = links
     while True:
-        rest = peel(peel(rest).rest, up=False)
-        if not rest.n_rest:
+        rest, left = trim(rest)
+        if not left:
             break
-        rest = materialize(rest.rest, "rest")
         nodes = rest.select(F.col("parent").alias("node")).unionByName(rest.select(F.col("child").alias("node"))).distinct()
         color = _spread_max(nodes, rest)
         # back from each color's own node, within its color

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..model import Dataset
-from ..session import materialize, saved
+from ..session import materialize, saved, together
 
 _NONE = "id bigint"
 
@@ -52,13 +52,15 @@ class Spatial:
         links = self.data.members.where("kind = 2 and ref_id is not null").select(F.col("rel_id").alias("rel"), F.col("ref_id").alias("next")).distinct()
         links = links.join(self.data.relations.select(F.col("id").alias("next")), "next", "left_semi")
         links = materialize(links.select("rel", "next"), "links")
-        seen = front = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("rel")).distinct(), "roots")
+        front = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("rel")).distinct(), "roots")
+        fronts = [front]
         while True:
             nxt = front.join(links, "rel").select("root", F.col("next").alias("rel")).distinct()
-            front, n = saved(nxt.join(seen, ["root", "rel"], "left_anti"), "front")
+            front, n = saved(nxt.join(together(fronts), ["root", "rel"], "left_anti"), "front")
             if not n["n"]:
                 break
-            seen = materialize(seen.unionByName(front), "seen")
+            fronts.append(front)
+        seen = together(fronts)
         m = self.data.members.where("kind in (0, 1) and ref_id is not null").select(F.col("rel_id").alias("rel"), "kind", "ref_id").distinct()
         return seen.join(m, "rel").select("root", "kind", "ref_id").distinct()
 
