@@ -195,10 +195,31 @@ def hierarchy(links: DataFrame) -> DataFrame:
 def descendants(links: DataFrame) -> DataFrame:
     """rel_id, below of every node and each distinct node below it.
 
-    Nodes from which a loop can be reached have no full list; hierarchy() tells which they are.
+    Nodes from which a loop can be reached have none here, as in the SQL of p6_descendants; all_descendants() has theirs too.
     """
     links = links.select("parent", "child").dropna().distinct()
     below = peel(links, lists=True).below
     if below is None:
         return links.sparkSession.createDataFrame([], "rel_id bigint, below bigint")
     return below.select(F.col("node").alias("rel_id"), "below")
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """rel_id, below of every node and each distinct node below it, loops or not; a node in a loop is below itself.
+
+    Each loop is condensed to one node, lists are made by peeling what that
+    leaves, and the members of loops take its place in them on both sides.
+    """
+    links = materialize(links.select("parent", "child").dropna().distinct(), "links")
+    part = materialize(loops(links), "parts")
+    ends = links
+    for side in ("parent", "child"):
+        ends = ends.join(part.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part")), side, "left")
+    a, b = F.coalesce("parent_part", "parent"), F.coalesce("child_part", "child")
+    below = peel(ends.select(a.alias("parent"), b.alias("child")).where("parent <> child").distinct(), lists=True).below
+    own = part.select("part", F.col("node").alias("rel_id")).join(part.select("part", F.col("node").alias("below")), "part").select("rel_id", "below")
+    if below is None:
+        return own
+    up, down = part.select(F.col("part").alias("node"), F.col("node").alias("rel_id")), part.select(F.col("part").alias("below"), F.col("node").alias("member"))
+    out = below.join(up, "node", "left").join(down, "below", "left")
+    return out.select(F.coalesce("rel_id", "node").alias("rel_id"), F.coalesce("member", "below").alias("below")).unionByName(own)

@@ -54,4 +54,8 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.relation_links(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_key_totals, p5_found, p5_report, p6_found, p6_descendants)}
+def p6_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return H.all_descendants(H.relation_links(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_key_totals, p5_found, p5_report, p6_found, p6_descendants, p6_all_descendants)}

@@ -67,3 +67,20 @@ def test_random(spark):
     got, lists, n = run(spark, links)
     want, want_lists = brute(links)
     assert got == want and lists == want_lists and n == len(want)
+
+
+def reached(links):
+    links = {(a, b) for a, b in links if a is not None and b is not None}
+    pairs = set(links)
+    while more := {(a, c) for a, b in pairs for x, c in links if b == x} - pairs:
+        pairs |= more
+    return pairs
+
+
+RANDOM = [(random.Random(s).randrange(25), random.Random(s + 500).randrange(25)) for s in range(30)]
+
+
+@pytest.mark.parametrize("links", [*CASES.values(), RANDOM], ids=[*CASES, "random"])
+def test_all_descendants(spark, links):
+    rows = [tuple(r) for r in H.all_descendants(spark.createDataFrame(links, "parent bigint, child bigint")).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == reached(links)
