@@ -213,16 +213,17 @@ def _slug_words(url: str | None) -> set:
     return {w for w in re.findall(r"[a-z]{3,}", skeleton(path)) if w != "html"}
 
 
-_READ = "doc_id bigint, host string, field boolean, strong int, near boolean, templates array<bigint>"
+_READ = "doc_id bigint, host string, field boolean, strong int, near boolean, unknown int, about bigint, templates array<bigint>"
 
 
-def judge(url: str | None, text: str) -> tuple[int, bool, list[int]]:
-    """strong, near and templates of a text.
+def judge(url: str | None, text: str) -> tuple[int, bool, int, int, list[int]]:
+    """strong, near, unknown, about and templates of a text.
 
     strong: sentences known as residue, -1 where others are left as well. near:
-    at most UNKNOWN_MOST sentences beside known residue are unknown and share no
-    word with address and title; templates are theirs. Of any other text with
-    unknown sentences templates are those of all its sentences.
+    sentences beside known residue are unknown and share no word with address
+    and title; unknown is their number, templates are theirs. Of any other text
+    with unknown sentences templates are those of all its sentences. about:
+    key of the title, or of the address's words if there is none.
     """
     title, strong, unknown = "", 0, []
     for sk, raw, is_title in rest_of(text):
@@ -233,19 +234,18 @@ def judge(url: str | None, text: str) -> tuple[int, bool, list[int]]:
         strong += lv == 2
         if not lv:
             unknown.append((sk, raw))
-            if len(unknown) > UNKNOWN_MOST:
-                break
     if not unknown:
-        return strong, False, []
-    if strong and len(unknown) <= UNKNOWN_MOST:
+        return strong, False, 0, 0, []
+    if strong:
         terms = _slug_words(url) | set(re.findall(r"[a-z]{3,}", title))
         if not terms & {w for sk, _ in unknown for w in re.findall(r"[a-z]{3,}", sk)}:
-            return -1, True, _templates([raw for _, raw in unknown])
-    return -1, False, _templates(_SENTENCE.split(text))
+            about = title or " ".join(sorted(_slug_words(url)))
+            return -1, True, len(unknown), xxhash.xxh64_intdigest(about) - (1 << 63), _templates([raw for _, raw in unknown])
+    return -1, False, 0, 0, _templates(_SENTENCE.split(text))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("field", pa.bool_()), ("strong", pa.int32()), ("near", pa.bool_()), ("templates", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("field", pa.bool_()), ("strong", pa.int32()), ("near", pa.bool_()), ("unknown", pa.int32()), ("about", pa.int64()), ("templates", pa.list_(pa.int64()))])
     for b in batches:
         rows = [(i, host, shows_field(text), *judge(url, text)) for i, host, url, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "host", "url", "text")))]
         cols = list(zip(*rows)) if rows else [[]] * len(schema)
@@ -254,7 +254,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Documents and hosts a sentence must be seen on to be judged by its company, and the share of them that must be known residue.
 MIN_DOCS, MIN_HOSTS, MIN_SHARE = 3, 2, 0.8
-#: Unknown sentences a text may have and still be judged by the company they keep elsewhere.
+#: Unknown sentences beyond which copies of a text count as one: its sentences must be seen under MIN_DOCS titles or, without title, addresses.
 UNKNOWN_MOST = 2
 
 
@@ -272,18 +272,20 @@ def residue(docs: DataFrame) -> DataFrame:
     footer is residue throughout. Sentences of no known vocabulary are judged by
     all documents: as residue if they stand beside nothing but known residue in
     MIN_SHARE of at least MIN_DOCS documents on MIN_HOSTS hosts, whose address
-    and title have no word in common with them. Null and blank texts are no
+    and title have no word in common with them; in texts with more than
+    UNKNOWN_MOST of them also under as many titles or addresses, since copies of
+    one page are no company. Null and blank texts are no
     cases; repeated rows and ids are judged each by itself.
     """
     seen = materialize(read_texts(docs), "residue")
     t = F.explode("templates").alias("t")
-    near = seen.where("near").select("doc_id", "host", t)
+    near = seen.where("near").select("doc_id", "host", "unknown", "about", t)
     # counted in all documents, but only sentences that are in question travel
-    asked = near.groupBy("t").agg(F.count(F.lit(1)).alias("near"), F.count_distinct("host").alias("hosts"))
+    asked = near.groupBy("t").agg(F.count(F.lit(1)).alias("near"), F.count_distinct("host").alias("hosts"), F.count_distinct("about").alias("abouts"))
     asked = asked.where((F.col("near") >= MIN_DOCS) & (F.col("hosts") >= MIN_HOSTS))
     elsewhere = seen.where("not near").select(t).join(asked.select("t"), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("other"))
-    good = asked.join(elsewhere, "t", "left").where(F.col("near") >= (F.col("near") + F.coalesce("other", F.lit(0))) * MIN_SHARE).select("t", F.lit(True).alias("good"))
-    judged = near.join(good, "t", "left").groupBy("doc_id").agg(F.every(F.coalesce("good", F.lit(False))).alias("all"))
+    good = asked.join(elsewhere, "t", "left").where(F.col("near") >= (F.col("near") + F.coalesce("other", F.lit(0))) * MIN_SHARE).select("t", F.lit(True).alias("good"), "abouts")
+    judged = near.join(good, "t", "left").groupBy("doc_id").agg(F.every(F.coalesce(F.col("good") & ((F.col("unknown") <= UNKNOWN_MOST) | (F.col("abouts") >= MIN_DOCS)), F.lit(False))).alias("all"))
     helped = judged.where("all").select("doc_id", F.lit("empty").alias("reason"))
     own = seen.where(F.col("field") | (F.col("strong") > 0)).select("doc_id", F.when(F.col("field"), "field").otherwise("empty").alias("reason"))
     return own.unionByName(helped.join(own.select("doc_id"), "doc_id", "left_anti"))

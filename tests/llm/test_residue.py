@@ -56,3 +56,13 @@ def test_company(spark):
     assert R.residue(spark.createDataFrame(rows + real, SCHEMA)).count() == 0
     named = [(i, h, "https://x.example/zorblax", t, x) for i, h, _, t, x in rows]
     assert R.residue(spark.createDataFrame(named, SCHEMA)).count() == 0
+
+
+def test_company_of_many(spark):
+    odd = "Zorblax quux vermin. Flonk arve mit. Brelk toso nim. Quell dabo rin."  # more than two unknown sentences
+    rows = [(i, f"h{i % 3}.example", f"https://x.example/p{'abcdef'[i]}{'uvwxyz'[i]}q", f"Page not found. {odd}", "x") for i in range(6)]
+    assert R.residue(spark.createDataFrame(rows, SCHEMA)).count() == 6
+    copies = [(i, h, u, f"Hill of Dabu\n\n{t}", x) for i, h, u, t, x in rows]  # one page on several hosts
+    assert R.residue(spark.createDataFrame(copies, SCHEMA)).count() == 0
+    real = [(i, h, u, "Closed on Mondays.", x) for i, h, u, _, x in rows]  # repeated as it is, yet real
+    assert R.residue(spark.createDataFrame(real, SCHEMA)).count() == 0
