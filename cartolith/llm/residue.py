@@ -41,20 +41,39 @@ VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|(?<=:\ )None)(?![\w'\"
 _MAYBE = re.compile(r"[{«@]|\[[A-Za-z\[]|<[%?A-Za-z]|&lt;[%?]|&#123|%[\w(%]|\$[{A-Za-z]|#[{A-Za-z]|\*\||:\w[\w.]*:|__|\?\?\?|undefined|null|NaN|None|i18n|[a-z]\.\w+\.[a-z]")
 #: Words before a program value that make it a word of the sentence.
 _PROSE = frozenset("and or the a an is are was were not no with und oder ein eine et ou un une y o el la".split())
-#: Words of sentences that speak about a field instead of showing one.
-_MENTION = re.compile(
-    r"\b(?:example|examples|exemple|ejemplo|beispiel|template|templates|vorlage|gabarit|plantilla|manual|handbuch|manuel|variables?|"
-    r"placeholders?|braces|brackets|syntax|merge fields?|lesson|code sample|method|function|string|in older files|the mark was|"
-    r"escriba|schreiben sie|[eé]?crivez|the page then shows|in the margin|menge|ensemble|conjunto|interval)\b", re.I)
+#: What stands right before or behind a field that is spoken about instead of shown.
+_NOUN = (r"(?:examples?|exemple|ejemplo|beispiel|templates?|vorlage|gabarit|plantilla|variables?|variablen?|placeholders?|platzhalter|strings?|arguments?|"
+         r"parameters?|merge fields?|methods?|methode|méthode|método|functions?|funktion|fonction|función)")
+_BEFORE = re.compile(
+    rf"(?:\b(?:such as|for example|e\.g\.|zum beispiel|z\. ?b\.|par exemple|por ejemplo|tels? que|tal como)|\b(?:the|a|an|der|die|das|eine?|la|le|une?|el)\s+{_NOUN}"
+    r"|\b(?:example|exemple|ejemplo|beispiel|code sample)\s?:\s*[«\"“„‘`])\W*$", re.I)
+_BEHIND = re.compile(rf"\W*(?:(?:for|as|als|comme|como|pour|para|für)\s+(?:\w+\s+){{0,2}}{_NOUN}\b|(?:turns? into|becomes|wird zu|pasa a ser|devient)\b)", re.I)
+#: Joins a field to one before it that is spoken about.
+_JOINS = re.compile(r"(?:\b(?:then|and|or|dann|und|oder|puis|et|ou|luego|y|o)|,)\s*$", re.I)
 #: Lines of program logs: what they show belongs to the program, not to a page.
 _LOG = re.compile(r"^\s*(?:warning: \w+\(|fatal: |notice: |#\d+ |at \w[\w.$]*\()", re.I)
-_QUOTES = {'"': '"', "“": "”", "„": "“", "`": "`", "'": "'", "‘": "’", "«": "»", "?": "?"}
+_QUOTES = {'"': '"', "“": "”", "„": "“", "`": "`", "'": "'", "‘": "’", "«": "»", "?": "?", "\x93": "\x94", "\x84": "\x93", "\x91": "\x92", "\ufffd": "\ufffd"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def _quoted(s: str, a: int, b: int) -> bool:
-    left, right = s[:a].rstrip("   "), s[b:].lstrip("   Â")
-    return bool(left and right) and _QUOTES.get(left[-1]) == right[0]
+    left, right = s[:a].rstrip("   Â"), s[b:].lstrip("   Â")
+    # quotes of damaged encodings all begin alike
+    return bool(left and right) and (_QUOTES.get(left[-1]) == right[0] or bool(right[0] == "â" and re.search(r"â\W{0,2}\w?$", left)))
+
+
+def _mentioned(s: str, hits: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of the hits, in order, is quoted or spoken about; what stands inside other hits does not matter."""
+    masked = list(s)
+    for a, b in hits:
+        masked[a:b] = "#" * (b - a)
+    line, out, last = "".join(masked), [], None
+    for a, b in hits:
+        said = _quoted(s, a, b) or bool(_BEFORE.search(line[max(0, a - 60) : a]) or _BEHIND.match(line[b : b + 80]))
+        said = said or bool(last is not None and a - last < 40 and _JOINS.search(line[last:a]))
+        out.append(said)
+        last = b if said else None
+    return out
 
 
 def shows_field(text: str) -> bool:
@@ -69,7 +88,7 @@ def shows_field(text: str) -> bool:
             before = s[: m.start()].split()
             if not (before and before[-1].lower() in _PROSE):
                 hits.append((m.start(), m.end()))
-        if hits and not _MENTION.search(s) and any(not _quoted(s, a, b) for a, b in hits):
+        if hits and not all(_mentioned(s, sorted(hits))):
             return True
     return False
 

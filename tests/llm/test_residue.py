@@ -66,3 +66,15 @@ def test_company_of_many(spark):
     assert R.residue(spark.createDataFrame(copies, SCHEMA)).count() == 0
     real = [(i, h, u, "Closed on Mondays.", x) for i, h, u, _, x in rows]  # repeated as it is, yet real
     assert R.residue(spark.createDataFrame(real, SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Download the manual: {{ file }}", "Welcome, {{ template.title }}", "${string}", "[[method]]", "Example rate: undefined per night",
+                                  "Tower, example, 5 km; template; Price ${price}; interval", "The string is long, and the price ${price} too"])
+def test_words_near_fields(text):
+    assert R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["Use a name such as {{ title }} there.", "Im Handbuch steht {{ name }} als Beispiel für eine Variable der Vorlage.", "El manual usa ${total} como ejemplo de variable.",
+                                  "The method ${a} runs first, then ${b} prints the object.", "The manual writes ${a} for a variable, ${b} for a string and {0} for the first argument."])
+def test_spoken_about(text):
+    assert not R.shows_field(text)
