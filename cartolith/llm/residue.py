@@ -37,10 +37,15 @@ FIELDS = re.compile(rf"""
   | (?<![\w?])\?\?\?(?![\w?]) | \bi18n:[\w.]+ | (?<![\w./@:])(?!www\.|m\.|maps\.)[a-z]\w*\.[A-Za-z]\w*\.(?:label|text|title|name|msg|message|key|value|caption|heading|hint)\b
 """, re.X)
 #: Program values that stand for a missing one.
-VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|(?<=:\ )None)(?![\w'\"-])(?!\.\w)(?!\ (?:of|Grad|Uhr|Prozent|Euro|Komma)\b)")
+VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|None)(?![\w'\"-])(?!\.\w)")
 _MAYBE = re.compile(r"[{«@]|\[[A-Za-z\[]|<[%?A-Za-z]|&lt;[%?]|&#123|%[\w(%]|\$[{A-Za-z]|#[{A-Za-z]|\*\||:\w[\w.]*:|__|\?\?\?|undefined|null|NaN|None|i18n|[a-z]\.\w+\.[a-z]")
-#: Words before a program value that make it a word of the sentence.
+#: Words before undefined and null that make them words of the sentence if what they qualify follows, and those that do so without.
 _PROSE = frozenset("and or the a an is are was were not no with und oder ein eine et ou un une y o el la".split())
+_SAID = frozenset("is are was were not".split())
+#: German number words: null before a unit.
+_COUNTED = re.compile(r" (?:Grad|Uhr|Prozent|Euro|Komma)\b")
+#: Places of a name, where None is no pronoun or name of a place.
+_NAMED = re.compile(r"(?:: |^\W*(?:hello|hi|hey|dear|welcome|hallo|liebe[rs]?|guten tag|bonjour|ch[eè]re?|hola|estimad[oa]|querid[oa]),? |\b(?:written by|posted by|escrito por|publicado por|geschrieben von|verfasst von|[ée]crit par|publi[ée] par) )$", re.I)
 #: What stands right before or behind a field that is spoken about instead of shown.
 _NOUN = (r"(?:examples?|exemple|ejemplo|beispiel|templates?|vorlage|gabarit|plantilla|variables?|variablen?|placeholders?|platzhalter|strings?|arguments?|"
          r"parameters?|merge fields?|methods?|methode|méthode|método|functions?|funktion|fonction|función)")
@@ -76,6 +81,19 @@ def _mentioned(s: str, hits: list[tuple[int, int]]) -> list[bool]:
     return out
 
 
+def _is_value(s: str, a: int, b: int) -> bool:
+    """Whether undefined, null, NaN or None at s[a:b] is a program's, not a word of the sentence."""
+    value, before = s[a:b], s[:a].split()
+    if value == "NaN":
+        return True
+    if value == "None":
+        return bool(_NAMED.search(s[:a]))
+    if value == "null" and _COUNTED.match(s, b):
+        return False
+    last = before[-1].lower() if before else ""
+    return not (last in _PROSE and re.match(r"\s+[^\W\d]", s[b:]) or last in _SAID and value == "undefined")
+
+
 def shows_field(text: str) -> bool:
     """Whether a field or program value stands where a value belongs, anywhere in text."""
     if not _MAYBE.search(text):
@@ -84,10 +102,7 @@ def shows_field(text: str) -> bool:
         if not _MAYBE.search(s) or _LOG.match(s):
             continue
         hits = [(m.start(), m.end()) for m in FIELDS.finditer(s)]
-        for m in VALUES.finditer(s):
-            before = s[: m.start()].split()
-            if not (before and before[-1].lower() in _PROSE):
-                hits.append((m.start(), m.end()))
+        hits += [(m.start(), m.end()) for m in VALUES.finditer(s) if _is_value(s, m.start(), m.end())]
         if hits and not all(_mentioned(s, sorted(hits))):
             return True
     return False

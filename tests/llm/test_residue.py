@@ -78,3 +78,14 @@ def test_words_near_fields(text):
                                   "The method ${a} runs first, then ${b} prints the object.", "The manual writes ${a} for a variable, ${b} for a string and {0} for the first argument."])
 def test_spoken_about(text):
     assert not R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["Preis: NaN Euro", "Preis: undefined Euro", "Anteil NaN Prozent", "Showing undefined of 12 results", "Showing null of 12 results", "Escrito por Ana el null", "Total is NaN",
+                                  "Hello None, your order has left.", "Escrito por None el lunes"])
+def test_values(text):
+    assert R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["Es war null Grad und null Uhr.", "The border is undefined.", "It is null and void.", "None of the ferries ran.", "A trip to None, by the lake.", "Ein null Fehler kommt vor."])
+def test_no_values(text):
+    assert not R.shows_field(text)
