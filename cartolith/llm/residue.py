@@ -36,6 +36,10 @@ FIELDS = re.compile(rf"""
   | \*\|{_NAME}\|\* | «(?:[a-z][\w.]{{1,40}}|[A-Z][A-Z_.\d]{{1,40}})(?:»|Â») | (?<![\w:]):{_NAME}:(?!\w) | (?<!\w)__{_NAME}?[A-Za-z.]__(?!\w)
   | (?<![\w?])\?\?\?(?![\w?]) | \bi18n:[\w.]+ | (?<![\w./@:])(?!www\.|m\.|maps\.)[a-z]\w*\.[A-Za-z]\w*\.(?:label|text|title|name|msg|message|key|value|caption|heading|hint)\b
 """, re.X)
+#: Brackets nothing but templates has: whatever stands between them on a line is a field.
+_OPEN = re.compile(r"\{\{\{?|\{%|\$\{|(?:<|&lt;)(?:%|\?(?!xml\b))|&#123;&#123;")
+_CLOSE = {"{": re.compile(r"\}\}\}?"), "{%": re.compile("%\\}"), "${": re.compile(r"\}"), "%": re.compile("%(?:>|&gt;)"), "?": re.compile(r"\?(?:>|&gt;)"), ";": re.compile("&#125;&#125;")}
+_SETS = re.compile(r"\}\s*,\s*\{")
 #: Program values that stand for a missing one.
 VALUES = re.compile(r"(?<![\w.'\"-])(?:undefined|null|NaN|None)(?![\w'\"-])(?!\.\w)")
 _MAYBE = re.compile(r"[{«@]|\[[A-Za-z\[]|<[%?A-Za-z]|&lt;[%?]|&#123|%[\w(%]|\$[{A-Za-z]|#[{A-Za-z]|\*\||:\w[\w.]*:|__|\?\?\?|undefined|null|NaN|None|i18n|[a-z]\.\w+\.[a-z]")
@@ -94,15 +98,51 @@ def _is_value(s: str, a: int, b: int) -> bool:
     return not (last in _PROSE and re.match(r"\s+[^\W\d]", s[b:]) or last in _SAID and value == "undefined")
 
 
+def _expressions(text: str) -> list[tuple[int, int]]:
+    """Spans of non-empty expressions in brackets of templates."""
+    out, pos, unclosed = [], 0, {}
+    while m := _OPEN.search(text, pos):
+        pos = m.end()
+        kind = m.group() if m.group() in _CLOSE else m.group()[-1]
+        if m.start() < unclosed.get(kind, 0):
+            continue
+        eol = text.find("\n", pos)
+        eol = len(text) if eol < 0 else eol
+        end = _CLOSE[kind].search(text, pos, eol)
+        if not end:
+            unclosed[kind] = eol
+        elif re.search(r"\w", inner := text[pos : end.start()]) and not _SETS.search(inner):
+            out.append((m.start(), end.end()))
+            pos = end.end()
+    return out
+
+
+def _sentences(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Each sentence, and the spans of expressions in it; none is broken within one."""
+    spans, at, k, done = _expressions(text), 0, 0, 0
+    for m in [*_SENTENCE.finditer(text), None] if spans else ():
+        cut = m.start() if m else len(text)
+        while k < len(spans) and spans[k][1] <= cut:
+            k += 1
+        if not (k < len(spans) and spans[k][0] < cut):
+            yield text[at:cut], [(a - at, b - at) for a, b in spans[done:k]]
+            at, done = m.end() if m else cut, k
+    if not spans:
+        for s in _SENTENCE.split(text):
+            yield s, []
+
+
 def shows_field(text: str) -> bool:
     """Whether a field or program value stands where a value belongs, anywhere in text."""
     if not _MAYBE.search(text):
         return False
-    for s in _SENTENCE.split(text):
+    for s, spans in _sentences(text):
         if not _MAYBE.search(s) or _LOG.match(s):
             continue
         hits = [(m.start(), m.end()) for m in FIELDS.finditer(s)]
         hits += [(m.start(), m.end()) for m in VALUES.finditer(s) if _is_value(s, m.start(), m.end())]
+        if spans:
+            hits = [h for h in hits if not any(a < h[1] and h[0] < b for a, b in spans)] + spans
         if hits and not all(_mentioned(s, sorted(hits))):
             return True
     return False

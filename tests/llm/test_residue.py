@@ -89,3 +89,14 @@ def test_values(text):
 @pytest.mark.parametrize("text", ["Es war null Grad und null Uhr.", "The border is undefined.", "It is null and void.", "None of the ferries ran.", "A trip to None, by the lake.", "Ein null Fehler kommt vor."])
 def test_no_values(text):
     assert not R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["{{ price | currency }}", "{{ user-name }}", "{{ 'cart.total' | translate }}", "{{#if order}}", "{% for x in items %}", "${user.getName()}", "<?php echo $title; ?>",
+                                  "<%= @user.name %>", "{{ été }}", "Price {{ " + "long_name" * 9 + " }} a night", "{{ cond ? yes : no! }}", "&#123;&#123; a | b &#125;&#125;"])
+def test_expressions(text):
+    assert R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["{{ }}", "Costs $ {5, 6} and {a, b}", '<?xml version="1.0"?>', "Write `{{ price | currency }}` where the price should appear."])
+def test_no_expressions(text):
+    assert not R.shows_field(text)
