@@ -173,10 +173,10 @@ BOILERPLATE = re.compile("^(?:" + "|".join([
     r"(?:last changed|stand ?:|mis jour le|mis a jour le|actualizado el) ?[\d./-]+", r"(?:printed from|gedruckt von|imprim\w* depuis|impreso desde) \S+",
     r"(?:accept all|alle zulassen|tout accepter|aceptar todo) \| .*", r"by reading on you agree\.(?: ok)?", r"save selection|auswahl speichern|enregistrer|guardar",
     r"ok|verstanden|compris|entendido",
-    # side notes about scripts
-    r".*\bjavascript\b.*(?:\bbetter\b|\bmieux\b|\bmejor\b|flssiger|\bbesser\b|text does not|pas le texte|el texto no|der text nicht).*",
-    r".*(?:\bbetter\b|\bmieux\b|\bmejor\b|flssiger|\bbesser\b).*\bjavascript\b.*",
 ]) + ")$")
+#: Side notes about scripts: that a page works better with them, or that its text does not need them.
+_BETTER = re.compile(r"\b(?:better|mieux|mejor|besser)\b|flssiger")
+_NO_NEED = re.compile("text does not|pas le texte|el texto no|der text nicht")
 _GLUE = _words("""a an the this that these of one some and or to for from by on in at is are was were be been has have had it its not no nothing here there you your we our us
 please sorry go start carrying if may can could would will when while again up with without before about after any more
 der die das ein eine einen diese dieser dieses ihr ihre ihren ihres sie sich uns unser unsere wir ist sind wird wurde werden und oder um zu zum zur von für auf in im den dem des es da hier
@@ -228,6 +228,9 @@ def _is_menu(sk: str) -> bool:
 
 
 def _boilerplate(sk: str) -> bool:
+    if script := re.search(r"\bjavascript\b", sk):
+        if _BETTER.search(sk) or _NO_NEED.search(sk, script.end()):
+            return True
     return bool(BOILERPLATE.match(sk)) or _is_menu(sk)
 
 
@@ -245,7 +248,7 @@ def level(sk: str) -> int:
     return 1 if _CASE_ID.match(sk) else 0
 
 
-#: Characters beyond which a line is no menu, notice, footer or title.
+#: Characters beyond which a line of several sentences is not dropped as one notice, since it may be a whole page; its sentences still are.
 LINE_MOST = 200
 
 
@@ -253,16 +256,10 @@ def rest_of(text: str) -> Iterator[tuple[str, str, bool]]:
     """What is left without menu, notices and footer: skeleton and wording of each sentence, and whether it is the title."""
     first = True
     for line in text.split("\n"):
-        if len(line) > LINE_MOST:
-            first = False
-            for raw in _SENTENCE.split(line):
-                if s := skeleton(raw):
-                    yield s, raw, False
-            continue
         sk = skeleton(line)
-        if not sk or _boilerplate(sk):
+        if not sk or _boilerplate(sk) and (len(line) <= LINE_MOST or not _SENTENCE.search(line.strip())):
             continue
-        title = first and len(sk.split()) <= 6 and not _TITLE_END.search(line) and level(sk) != 2
+        title = first and len(line) <= LINE_MOST and len(sk.split()) <= 6 and not _TITLE_END.search(line) and level(sk) != 2
         first = False
         if title:
             yield sk, line, True

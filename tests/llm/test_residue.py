@@ -100,3 +100,13 @@ def test_expressions(text):
 @pytest.mark.parametrize("text", ["{{ }}", "Costs $ {5, 6} and {a, b}", '<?xml version="1.0"?>', "Write `{{ price | currency }}` where the price should appear."])
 def test_no_expressions(text):
     assert not R.shows_field(text)
+
+
+COOKIES = "We use files of many kinds on this site and its partner sites to measure visits, remember your settings, keep you signed in, count the readers of each page, show maps in your language and improve our service with cookies"
+
+
+def test_long_notices():
+    for text in (f"{COOKIES}.\nPage not found.", f"{COOKIES}. Page not found.", f"Page not found. {COOKIES}"):
+        assert len(text) > 200 and R.judge(None, text)[0] > 0
+    assert R.judge(None, f"{COOKIES}. Page not found. The mill grinds on Sundays.")[0] <= 0
+    assert R.judge(None, f"{COOKIES}. The mill grinds on Sundays.")[0] <= 0
