@@ -1,8 +1,9 @@
 """Full hierarchies from parent-child links of unknown depth.
 
 Leaves are peeled from the bottom, a round at a time, each sending the list of
-what is below it to its parents; paths and depths are then assigned from the
-top, against the order of peeling. Links that can be peeled neither from below
+what is below it to its parents; hierarchy() peels without lists, only to find
+loops. Paths and depths are assigned from the top, by length of chain; subtree
+sizes are not built. Links that can be peeled neither from below
 nor from above contain the loops, which are split into strongly connected
 parts by spreading the greatest id that reaches a node. Every round writes its
 result to the shared folder: lineage stays short, nothing is gathered on the
