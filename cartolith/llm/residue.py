@@ -1,18 +1,22 @@
 """Template residue, filler, error pages and demands for scripts.
 
-Two detectors read each text once. The placeholder detector looks at every
-sentence for fields and program values that no template filled in, and passes
-over those a text only mentions. The low-information detector takes off menu,
-notices, footer and title and asks whether anything but filler, errors and
-script notices is left; sentences it does not know count as such if the whole
-corpus, on several hosts and under addresses and titles that have no word in
-common with them, has them only beside known ones.
+Each text is read once. The placeholder detector looks at every sentence for
+fields and program values that no template filled in, and passes over those a
+text only mentions. For the rest address slug, title and body are taken apart:
+menu, notices, footer and title come off, and each sentence left is reduced to
+a template (numbers masked). A body says nothing about its own page if all its
+templates come back over the whole corpus, under addresses and titles that have
+no word in common with them, on several hosts, and in nearly every document
+that has them make up the whole body together. A vocabulary of errors, filler
+and script notices serves as a weak prior for wordings too rare for that, and
+is overruled where the corpus shows such a sentence beside real content.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
@@ -24,16 +28,16 @@ from ..session import materialize, ship
 
 # ---------------------------------------------------------------- placeholders
 
-_NAME = r"[A-Za-z][\w.]{0,40}"
+_NAME = r"[A-Za-z][\w.]*"
 _FIELD = rf"(?:{_NAME}|(?:Your|Ihre?|Votre|Su)\s{_NAME}|insert\s{_NAME}\shere|\d)"
 #: Syntaxes of template fields.
 FIELDS = re.compile(rf"""
     \{{\{{\{{?\s*{_FIELD}\s*\}}?\}}\}} | [$#]\{{\s*{_FIELD}\s*\}} | \{{%\s*(?:\w+\s+)?{_FIELD}\s*%\}} | (?<![\w#\d\s]\s)(?<![$#\w])\{{{_FIELD}\}} | (?<=\s)(?<!\#\d\s)\{{{_FIELD}\}}
   | (?:<|&lt;)[%?]=?\s*\$?{_FIELD}\s*[%?](?:>|&gt;) | &\#123;(?:&\#123;)?\s*{_FIELD}\s*&\#125;(?:&\#125;)?
-  | \[\[\s*{_FIELD}\s*\]\] | \[(?!\d)(?!(?:sic|at|dot|edit|note|ref|i|ii|iii|iv|v|x)\]){_FIELD}\] | \[object\ Object\]
-  | <[A-Za-z]+_[A-Za-z_]+> | <[A-Z][A-Z_]{{2,40}}>
+  | \[\[\s*{_FIELD}\s*\]\] | (?<!\w)\[(?!\d)(?!(?:sic|at|dot|edit|note|ref|i|ii|iii|iv|v|x)\]){_FIELD}\] | \[object\ Object\]
+  | <[A-Za-z]+_[A-Za-z_]+> | <[A-Z][A-Z_]{{2,}}>
   | @@{_NAME}@@ | (?<!\w)%\({_NAME}\)[sd] | (?<![\w%])%(?:\d\$)?[sd](?!\w) | (?<!\w)%{_NAME}%(?!\w) | (?<!\w)\${_NAME}\$(?!\w) | (?<!\w)\#{_NAME}\#(?!\w)
-  | \*\|{_NAME}\|\* | «(?:[a-z][\w.]{{1,40}}|[A-Z][A-Z_.\d]{{1,40}})(?:»|Â») | (?<![\w:]):{_NAME}:(?!\w) | (?<!\w)__{_NAME}?[A-Za-z.]__(?!\w)
+  | \*\|{_NAME}\|\* | «(?:[a-z][\w.]+|[A-Z][A-Z_.\d]+)(?:»|Â») | (?<![\w:]):{_NAME}:(?!\w) | (?<!\w)__{_NAME}?[A-Za-z.]__(?!\w)
   | (?<![\w?])\?\?\?(?![\w?]) | \bi18n:[\w.]+ | (?<![\w./@:])(?!www\.|m\.|maps\.)[a-z]\w*\.[A-Za-z]\w*\.(?:label|text|title|name|msg|message|key|value|caption|heading|hint)\b
 """, re.X)
 #: Brackets nothing but templates has: whatever stands between them on a line is a field.
@@ -48,6 +52,8 @@ _PROSE = frozenset("and or the a an is are was were not no with und oder ein ein
 _SAID = frozenset("is are was were not".split())
 #: German number words: null before a unit.
 _COUNTED = re.compile(r" (?:Grad|Uhr|Prozent|Euro|Komma)\b")
+#: Terms of mathematics, law and programming that null and undefined belong to.
+_TERM = re.compile(r"\s+(?:hypothes[ie]s|values?|pointers?|results?|behaviou?rs?|sets?|vectors?|spaces?|references?|terminators?|characters?|strings?|variables?|symbols?|borders?|islands?|terms?)\b")
 #: Places of a name, where None is no pronoun or name of a place.
 _NAMED = re.compile(r"(?:: |^\W*(?:hello|hi|hey|dear|welcome|hallo|liebe[rs]?|guten tag|bonjour|ch[eè]re?|hola|estimad[oa]|querid[oa]),? |\b(?:written by|posted by|escrito por|publicado por|geschrieben von|verfasst von|[ée]crit par|publi[ée] par) )$", re.I)
 #: What stands right before or behind a field that is spoken about instead of shown.
@@ -94,6 +100,8 @@ def _is_value(s: str, a: int, b: int) -> bool:
         return bool(_NAMED.search(s[:a]))
     if value == "null" and _COUNTED.match(s, b):
         return False
+    if value in ("null", "undefined") and _TERM.match(s, b):
+        return False
     last = before[-1].lower() if before else ""
     return not (last in _PROSE and re.match(r"\s+[^\W\d]", s[b:]) or last in _SAID and value == "undefined")
 
@@ -212,13 +220,17 @@ LOW = _GLUE | _PAGE | _ERROR | _SCRIPT | _FILLER | MENU
 STRONG = re.compile(r"""\b(?:error|errors|fehler|\w*serverfehler|erreur|http|forbidden|unavailable|gateway|bad\ request|denied|refused|refus|verweigert|denegado|prohibido|interdit
   | not\ found|no\ such|nothing\ (?:here|matched)|could\ not|couldnt|absent|inexistente|introuvable|nicht\ (?:gefunden|vorhanden|verf\w*|erreichbar|gefunden)|existiert|does\ not\ exist|no\ existe|nexiste|no\ se\ encuentra|no\ encontrada|no\ longer|no\ est\ disponible|ya\ no
   | been\ (?:moved|removed|limited|suspended)|not\ set\ up|dplace|supprime|eliminada|movida|went\ wrong|schiefgegangen|ha\ fallado|survenue|expired|expir|abgelaufen|caducado|timed\ out|time-?out|maintenance|wartung\w*|mantenimiento|offline|planned\ work|parked
-  | too\ many\ requests|not\ allowed|permiso|berechtigung|droits\ ncessaires|connect|verbindung|conexin|connexion\ la\ base|fatal|uncaught|out\ of\ date|be\ out\ of\ date
+  | too\ many\ requests|not\ allowed|permiso|berechtigung|droits\ ncessaires|(?:cannot|unable\ to|failed\ to)\ connect|keine\ verbindung|(?:no\ hay|sin)\ conexin|connexion\ .*\bimpossible|fatal|uncaught|out\ of\ date|be\ out\ of\ date
   | javascript|scripts?|scripting|skripten?|noscript|browser|navegador|navigateur|one\ moment|just\ a\ moment|please\ wait|loading
   | lorem|ipsum|dolor|adipiscing|consectetur|nostrud|blah|asdf|qwertz|foo|mustertext|blindtext|platzhalter|dummy|todo|tbd|coming\ soon|placeholder|filler|sample|goes\ here|(?:text|content|heading|headline|title|description|caption)\ (?:here|to\ be\ added)|in\ this\ (?:box|field)|your\ (?:text|content|heading|title|description)
   | hier\ steht|ihr\ text|factice|provisoire|votre\ texte|texte\ dexemple|titre\ complter|relleno|su\ texto|prrafo\ de\ ejemplo|ttulo\ por\ completar)\b""", re.X)
 _TRACE = re.compile(r"^(?:fatal: uncaught .*|warning: \w+\(\).*|#\d+ .*|at \w[\w.$]*\(.*|traceback .*|file \S+, line \d+.*|notice: .*|in /\S+ on line \d+)$")
 #: Numbers an error page gives for reference.
 _CASE_ID = re.compile(r"^(?:reference|referencia|rfrence|referenz|fehlernummer|incident|error|request|vorgang)(?: (?:number|id|no|nummer|code|numro|nmero))?:? ?[\w-]*\d[\w-]*\.?$")
+#: A note to whoever writes the page.
+_TODO = re.compile(r"^(?:todo|tbd|fixme)(?:\W|$)")
+#: A status line as servers send it, with their name behind it at most.
+_STATUS = re.compile(r"^(?:http(?:/[\d.]+)? ?|error:? ?)?(?:" + "|".join(f"{int(c)}[ :,-]+{re.escape(c.phrase.lower())}" for c in HTTPStatus if c >= 400) + r")(?:\W+[\w./-]+){0,2}$")
 _TITLE_END = re.compile(r"[.!?:;,]\s*$")
 
 
@@ -243,37 +255,37 @@ def level(sk: str) -> int:
         return 1 if not re.search(r"\d", sk) else 0
     if all(w in LOW or len(w) == 1 for w in words):
         return 2 if STRONG.search(sk) else 1
-    if re.match(r"^(?:todo|tbd|coming soon)\b", sk):
+    if _TODO.match(sk) or _STATUS.match(sk):
         return 2
     return 1 if _CASE_ID.match(sk) else 0
 
 
-#: Characters beyond which a line of several sentences is not dropped as one notice, since it may be a whole page; its sentences still are.
-LINE_MOST = 200
-
+def rest_of(text: str) -> list[tuple[str, bool]]:
+    """What is left without menu, notices and footer: skeleton of each sentence, and whether it is the title.
 
-def rest_of(text: str) -> Iterator[tuple[str, str, bool]]:
-    """What is left without menu, notices and footer: skeleton and wording of each sentence, and whether it is the title."""
-    first = True
+    The title is the first line left, if it is no whole sentence and no known
+    residue and more follows it.
+    """
+    out: list[tuple[str, bool]] = []
     for line in text.split("\n"):
         sk = skeleton(line)
-        if not sk or _boilerplate(sk) and (len(line) <= LINE_MOST or not _SENTENCE.search(line.strip())):
-            continue
-        title = first and len(line) <= LINE_MOST and len(sk.split()) <= 6 and not _TITLE_END.search(line) and level(sk) != 2
-        first = False
-        if title:
-            yield sk, line, True
+        if not sk or _is_menu(sk):
             continue
-        for raw in _SENTENCE.split(line):
-            s = skeleton(raw)
-            if s and not _boilerplate(s):
-                yield s, raw, False
+        parts = [x for x in map(skeleton, _SENTENCE.split(line)) if x and not _boilerplate(x)]
+        if len(parts) == 1 and not out and not _TITLE_END.search(line) and level(parts[0]) != 2:
+            out.append((parts[0], True))
+        else:
+            out += [(x, False) for x in parts]
+    return [(out[0][0], False)] if len(out) == 1 else out
 
 
-def _templates(sentences: list[str]) -> list[int]:
-    """Keys of the distinct sentences, numbers masked."""
-    masked = re.sub(r"\d+", "0", "\n".join(sentences)).split("\n")
-    return [xxhash.xxh64_intdigest(m) - (1 << 63) for m in {m.strip() for m in masked}]
+def template(sk: str) -> str:
+    """A sentence with everything that holds a digit masked."""
+    return re.sub(r"\S*\d\S*", "0", sk)
+
+
+def _key(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
 def _slug_words(url: str | None) -> set:
@@ -284,49 +296,53 @@ def _slug_words(url: str | None) -> set:
     return {w for w in re.findall(r"[a-z]{3,}", skeleton(path)) if w != "html"}
 
 
-_READ = "doc_id bigint, host string, field boolean, strong int, near boolean, unknown int, about bigint, templates array<bigint>"
-
-
-def judge(url: str | None, text: str) -> tuple[int, bool, int, int, list[int]]:
-    """strong, near, unknown, about and templates of a text.
+def take_apart(url: str | None, text: str, host: str | None = None) -> tuple[dict[str, int], str, bool, int]:
+    """Templates of the body with their levels, what the page is about, whether the body speaks of that, and its words.
 
-    strong: sentences known as residue, -1 where others are left as well. near:
-    sentences beside known residue are unknown and share no word with address
-    and title; unknown is their number, templates are theirs. Of any other text
-    with unknown sentences templates are those of all its sentences. about:
-    key of the title, or of the address's words if there is none.
+    About is the title, else the address's words, else host and address. A body speaks
+    of it if a sentence without known residue has a word of title or slug.
     """
-    title, strong, unknown = "", 0, []
-    for sk, raw, is_title in rest_of(text):
+    title, body, words = "", {}, 0
+    for sk, is_title in rest_of(text):
         if is_title:
             title = sk
             continue
-        lv = level(sk)
-        strong += lv == 2
-        if not lv:
-            unknown.append((sk, raw))
-    if not unknown:
-        return strong, False, 0, 0, []
-    if strong:
-        terms = _slug_words(url) | set(re.findall(r"[a-z]{3,}", title))
-        if not terms & {w for sk, _ in unknown for w in re.findall(r"[a-z]{3,}", sk)}:
-            about = title or " ".join(sorted(_slug_words(url)))
-            return -1, True, len(unknown), xxhash.xxh64_intdigest(about) - (1 << 63), _templates([raw for _, raw in unknown])
-    return -1, False, 0, 0, _templates(_SENTENCE.split(text))
+        t, lv = template(sk), level(sk)
+        body[t] = max(lv, body.get(t, 0))
+        words += sk.count(" ") + 1
+    slug = _slug_words(url)
+    terms = slug | set(re.findall(r"[a-z]{3,}", title))
+    own = any(not lv and terms & set(re.findall(r"[a-z]{3,}", t)) for t, lv in body.items())
+    return body, title or " ".join(sorted(slug)) or f"{host} {url}", own, words
+
+
+_READ = "doc_id bigint, row bigint, host bigint, about bigint, field boolean, own boolean, words int, size int, strong boolean, t array<bigint>, lv array<tinyint>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("field", pa.bool_()), ("strong", pa.int32()), ("near", pa.bool_()), ("unknown", pa.int32()), ("about", pa.int64()), ("templates", pa.list_(pa.int64()))])
+    from pyspark import TaskContext
+
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64()), "array<tinyint>": pa.list_(pa.int8())}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _READ.split(", "))])
+    row = TaskContext.get().partitionId() << 33
     for b in batches:
-        rows = [(i, host, shows_field(text), *judge(url, text)) for i, host, url, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "host", "url", "text")))]
+        rows = []
+        for i, host, url, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "host", "url", "text"))):
+            body, about, own, words = take_apart(url, text, host)
+            rows.append((i, row, _key(host or ""), _key(about), shows_field(text), own, words, len(body), 2 in body.values(), list(map(_key, body)), list(body.values())))
+            row += 1
         cols = list(zip(*rows)) if rows else [[]] * len(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-#: Documents and hosts a sentence must be seen on to be judged by its company, and the share of them that must be known residue.
-MIN_DOCS, MIN_HOSTS, MIN_SHARE = 3, 2, 0.8
-#: Unknown sentences beyond which copies of a text count as one: its sentences must be seen under MIN_DOCS titles or, without title, addresses.
-UNKNOWN_MOST = 2
+#: A template is judged by the corpus from so many documents and titles or addresses on, and if on more than one host.
+MIN_DOCS, MIN_ABOUTS = 3, 3
+#: Words of a body for which it must be seen under one title or address more: copies of a page that says something are fewer than that.
+WORDS_AN_ABOUT = 10
+#: Share of a template's documents that must say nothing else, and documents added to them where it never stands beside known residue.
+MIN_SHARE, DOUBT = 0.8, 2.0
+#: Known residue is overruled from so many documents on, if less than that share of them says nothing else.
+OVERRULED_DOCS, OVERRULED_SHARE = 5, 0.5
 
 
 def read_texts(docs: DataFrame) -> DataFrame:
@@ -336,27 +352,51 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_read, _READ)
 
 
+def _bare(seen: DataFrame, often: DataFrame) -> DataFrame:
+    """Rows whose body holds nothing but frequent templates and known residue: row, doc_id, host, about, words, body (t, lv, n).
+
+    Sentences are sent only where they are frequent or known, so of other rows
+    little or nothing travels.
+    """
+    s = seen.where(~F.col("own") & (F.col("size") > 0) & ~F.col("field"))
+    s = s.select("row", "doc_id", "host", "about", "words", "size", "strong", F.explode(F.arrays_zip("t", "lv")).alias("s"))
+    s = s.select("row", "doc_id", "host", "about", "words", "size", "strong", F.col("s.t").alias("t"), F.col("s.lv").alias("lv"))
+    s = s.join(often, "t", "left").where("n is not null or lv > 0")
+    return s.groupBy("row", "doc_id", "host", "about", "words", "size", "strong").agg(F.collect_list(F.struct("t", "lv", "n")).alias("body")).where(F.size("body") == F.col("size"))
+
+
 def residue(docs: DataFrame) -> DataFrame:
-    """doc_id, reason ('field' or 'empty') of each document that shows a template field or has no real content.
-
-    A text counts as empty if what is left without title, menu, notices and
-    footer is residue throughout. Sentences of no known vocabulary are judged by
-    all documents: as residue if they stand beside nothing but known residue in
-    MIN_SHARE of at least MIN_DOCS documents on MIN_HOSTS hosts, whose address
-    and title have no word in common with them; in texts with more than
-    UNKNOWN_MOST of them also under as many titles or addresses, since copies of
-    one page are no company. Null and blank texts are no
-    cases; repeated rows and ids are judged each by itself.
+    """doc_id, reason of each document that shows a template field or has no real content.
+
+    reason: 'field'; 'repeated', where the corpus alone shows every sentence to
+    be residue; 'mixed', where it shows some and the others are of the known
+    vocabulary; 'known', where all are. A template is residue by the corpus
+    if it is in MIN_DOCS documents or more, these are on several hosts and under
+    MIN_ABOUTS titles or addresses (more for longer bodies), and MIN_SHARE of
+    them (with DOUBT) have no other sentence than such and known ones and none
+    that shares a word with title or slug. Null and blank texts are no cases;
+    repeated rows and ids are judged each by itself.
     """
     seen = materialize(read_texts(docs), "residue")
-    t = F.explode("templates").alias("t")
-    near = seen.where("near").select("doc_id", "host", "unknown", "about", t)
-    # counted in all documents, but only sentences that are in question travel
-    asked = near.groupBy("t").agg(F.count(F.lit(1)).alias("near"), F.count_distinct("host").alias("hosts"), F.count_distinct("about").alias("abouts"))
-    asked = asked.where((F.col("near") >= MIN_DOCS) & (F.col("hosts") >= MIN_HOSTS))
-    elsewhere = seen.where("not near").select(t).join(asked.select("t"), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("other"))
-    good = asked.join(elsewhere, "t", "left").where(F.col("near") >= (F.col("near") + F.coalesce("other", F.lit(0))) * MIN_SHARE).select("t", F.lit(True).alias("good"), "abouts")
-    judged = near.join(good, "t", "left").groupBy("doc_id").agg(F.every(F.coalesce(F.col("good") & ((F.col("unknown") <= UNKNOWN_MOST) | (F.col("abouts") >= MIN_DOCS)), F.lit(False))).alias("all"))
-    helped = judged.where("all").select("doc_id", F.lit("empty").alias("reason"))
-    own = seen.where(F.col("field") | (F.col("strong") > 0)).select("doc_id", F.when(F.col("field"), "field").otherwise("empty").alias("reason"))
-    return own.unionByName(helped.join(own.select("doc_id"), "doc_id", "left_anti"))
+    often = seen.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
+    bare = materialize(_bare(seen, often), "bare")
+    # of those only rows none of whose sentences is bound to one host or to few titles and addresses
+    each = bare.select("row", "host", "about", "strong", F.inline("body"))
+    spread = [(F.min("host") < F.max("host")).alias("hosts"), F.count_distinct("about").alias("abouts")]
+    bound = each.where("n is not null and lv = 0").groupBy("t").agg(*spread).where(~F.col("hosts") | (F.col("abouts") < MIN_ABOUTS)).select("t")
+    rows = each.where("lv = 0").join(bound, "t", "left_semi").select("row").distinct()
+    each = each.where("n is not null").join(rows, "row", "left_anti")
+    stats = each.groupBy("t").agg(F.count(F.lit(1)).alias("bare"), F.max("n").alias("n"), F.max(F.col("strong") & (F.col("lv") == 0)).alias("near"), *spread)
+    doubt = F.when(F.col("near"), 0.0).otherwise(DOUBT)
+    shown = F.col("hosts") & (F.col("abouts") >= MIN_ABOUTS) & (F.col("bare") >= (F.col("n") + doubt) * MIN_SHARE)
+    over = (F.col("n") >= OVERRULED_DOCS) & (F.col("bare") < F.col("n") * OVERRULED_SHARE)
+    verdict = stats.select("t", F.when(shown, F.col("abouts")).alias("abouts"), over.alias("over")).where("abouts is not null or over")
+    s = bare.select("row", "doc_id", "words", F.explode("body").alias("s")).select("row", "doc_id", "words", F.col("s.t").alias("t"), F.col("s.lv").alias("lv"))
+    s = s.join(verdict, "t", "left")
+    by_corpus = F.coalesce(F.col("abouts") >= MIN_ABOUTS + F.floor(F.col("words") / WORDS_AN_ABOUT), F.lit(False))
+    by_words = (F.col("lv") > 0) & ~F.coalesce("over", F.lit(False))
+    s = s.groupBy("row", "doc_id").agg(
+        F.every(by_corpus | by_words).alias("all"), F.every(by_corpus).alias("repeated"), F.some(by_corpus).alias("some"), F.some(by_words & (F.col("lv") == 2)).alias("strong"))
+    s = s.where(F.col("all") & (F.col("some") | F.col("strong")))
+    empty = s.select("doc_id", F.when(F.col("repeated"), "repeated").when(F.col("some"), "mixed").otherwise("known").alias("reason"))
+    return seen.where("field").select("doc_id", F.lit("field").alias("reason")).unionByName(empty)

