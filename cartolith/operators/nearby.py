@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import zcurve as Z
-from ..session import BROADCAST_LIMIT, bounded
+from ..session import BROADCAST_LIMIT, bounded, saved
 
 _PAD = 1e-9
+#: Points a cell may have; the pairs of a fuller one are spread over several tasks.
+CELL_MOST = 20_000
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -28,9 +30,10 @@ def near_pairs(points: DataFrame, radius: float) -> DataFrame:
 
     A point goes to its own cell and to those cells of its disc that come after
     it by column and row, so each pair meets in one cell only. Both sides of the
-    self-join are the same plan up to the exchange, so points are shuffled once;
-    cells that are too full are split by adaptive execution. Null or NaN places
-    and ids match nothing; equal places match; a radius below 0 matches nothing.
+    self-join are the same plan up to the exchange, so points are shuffled once.
+    Cells of more than CELL_MOST points are counted first: there one side is
+    dealt to parts and the other sent to each of them. Null or NaN places and
+    ids match nothing; equal places match; a radius below 0 matches nothing.
     """
     spark = points.sparkSession
     if not math.isfinite(radius) or radius < 0:
@@ -49,16 +52,32 @@ def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     p = p.select("id", "lon", "lat", "cx", "cy", F.explode(F.array_compact(cells)).alias("c"))
     home = (F.col("c.x") == F.col("cx")) & (F.col("c.y") == F.col("cy"))
     p = p.select(Z.interleave(F.col("c.x"), F.col("c.y"), level + 1).alias("code"), "id", "lon", "lat", home.alias("home"))
-    a, b = p.alias("a"), p.alias("b")
+    full, n = saved(p.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / CELL_MOST).alias("parts")).where("parts > 1"), "full-cells")
+    if not n["n"]:
+        return _close(p, p, radius)
+    # at most as many cells as points / CELL_MOST
+    listed = F.broadcast(full) if n["n"] * 40 <= BROADCAST_LIMIT else full
+    cold, hot = p.join(listed, "code", "left_anti"), p.join(listed, "code")
+    dealt = hot.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    sent = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return _close(cold, cold, radius).unionByName(_close(dealt, sent, radius, "part"))
+
+
+def _close(left: DataFrame, right: DataFrame, radius: float, *keys: str) -> DataFrame:
+    """Pairs of two sides of one cell (and keys) at most radius apart, each once."""
+    a, b = left.alias("a"), right.alias("b")
     # of both sides at once, so that no part of it is pushed below one side's exchange
     meets = F.when(F.col("b.home"), F.col("a.home") & (F.col("a.id") < F.col("b.id"))).otherwise(F.col("a.home"))
     close = distance(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= F.lit(float(radius))
-    j = a.join(b, (F.col("a.code") == F.col("b.code")) & meets & close & (F.col("a.id") != F.col("b.id")))
+    on = F.col("a.code") == F.col("b.code")
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    j = a.join(b, on & meets & close & (F.col("a.id") != F.col("b.id")))
     return j.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
 
 
 def disc_regions(probes: DataFrame, kind: str, id_col: str, radius_col: str) -> DataFrame:
-    """Discs as regions; rows with a null, NaN or negative value find nothing, repeats count once."""
+    """Discs as regions; rows with a null, NaN or negative value find nothing, repeats count once; an infinite radius is the world."""
     ok = ~(F.isnan("lon") | F.isnan("lat") | F.isnan(radius_col)) & (F.col(radius_col) >= 0)
     d = probes.select(F.col(id_col).alias("rid"), "lon", "lat", radius_col).dropna().where(ok).distinct()
     r = F.col(radius_col)
@@ -106,12 +125,19 @@ def zone_regions(vertices: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cover(regions: DataFrame) -> DataFrame:
-    """The cells that cover each region's box, at the level that fits its extent: level, code."""
+    """The cells that cover each region's box, at the level that fits its extent: level, code.
+
+    Boxes are cut to the world first, so that none has more than about 17 x 17
+    cells however large; one outside the world has none.
+    """
+    cut = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).alias(c)
+    regions = regions.where("x1 >= -180 and x0 <= 180 and y1 >= -90 and y0 <= 90")
+    sides = {"x0": (-180.0, 180.0), "x1": (-180.0, 180.0), "y0": (-90.0, 90.0), "y1": (-90.0, 90.0)}
+    regions = regions.select(*(cut(c, *sides[c]) if c in sides else c for c in regions.columns))
     lv = Z.fitting_level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     r = regions.withColumn("level", lv).withColumn("w", F.lit(360.0) / F.pow(F.lit(2.0), F.col("level")))
     xs = F.sequence(Z.column_of(F.col("x0"), F.col("w")), Z.column_of(F.col("x1"), F.col("w")))
     ys = F.sequence(Z.row_of(F.col("y0"), F.col("w")), Z.row_of(F.col("y1"), F.col("w")))
-    r = r.where("x1 >= -180 and x0 <= 180 and y1 >= -90 and y0 <= 90")
     r = r.withColumn("cx_no", F.explode(xs)).withColumn("cy_no", F.explode(ys))
     return r.withColumn("code", Z.interleave(F.col("cx_no"), F.col("cy_no"))).drop("w", "cx_no", "cy_no")
 
@@ -146,8 +172,11 @@ def points_in_regions(points: DataFrame, regions: DataFrame, shapes: DataFrame)
     inbox = lon.between(F.col("x0"), F.col("x1")) & lat.between(F.col("y0"), F.col("y1"))
     in_disc = F.col("radius").isNull() | (distance(lon, lat, F.col("cx"), F.col("cy")) <= F.col("radius"))
     hit = hit.where(inbox & in_disc).select("kind", "rid", "id", "lon", "lat", "radius")
-    edges = shapes.agg(F.sum(F.size("outer") + F.aggregate("holes", F.lit(0), lambda n, h: n + F.size(h)))).first()[0] or 0
+    outer = F.coalesce(F.size("outer"), F.lit(0))
+    edges = shapes.agg(F.sum(F.greatest(outer, F.lit(0)) + F.aggregate("holes", F.lit(1), lambda n, h: n + F.size(h)))).first()[0] or 0
     hit = hit.join(F.broadcast(shapes) if edges * 40 <= BROADCAST_LIMIT else shapes, ["kind", "rid"], "left")
     inside = _crossings_odd(F.col("outer"), lon, lat) & ~F.exists("holes", lambda h: _crossings_odd(h, lon, lat))
-    # a probe id with several places may find a point twice
-    return hit.where(F.when(F.col("radius").isNull(), inside).otherwise(True)).select("kind", "rid", "id").distinct()
+    hit = hit.where(F.when(F.col("radius").isNull(), inside).otherwise(True)).select("kind", "rid", "id")
+    # only a region id with several places can find a point twice
+    several = regions.groupBy("kind", "rid").count().where("count > 1").limit(1).count()
+    return hit.distinct() if several else hit

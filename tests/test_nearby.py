@@ -22,6 +22,13 @@ def test_near_pairs(spark):
         assert got == brute_near(pts, r), r
 
 
+def test_full_cells_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_MOST", 20)
+    rnd = random.Random(14)
+    pts = [(i, rnd.gauss(1, 0.0003), rnd.gauss(1, 0.0003)) for i in range(260)] + [(500 + i, 1.0, 1.0) for i in range(30)] + [(900 + i, rnd.uniform(0, 2), rnd.uniform(0, 2)) for i in range(80)]
+    assert sorted(map(tuple, N.near_pairs(points_df(spark, pts), 0.0004).collect())) == brute_near(pts, 0.0004)
+
+
 def test_near_pairs_bad_input(spark):
     pts = [(1, None, 1.0), (2, float("nan"), 1.0), (None, 1.0, 1.0), (3, 1.0, 1.0), (4, 1.0, 1.0)]
     assert N.near_pairs(points_df(spark, pts), 0.1).collect() == [(3, 4)]
@@ -57,3 +64,21 @@ def test_regions(spark):
     assert got == sorted(want)
     none = N.disc_regions(pr.where("point_id = 2"), "point", "point_id", "radius_deg")
     assert N.points_in_regions(points_df(spark, pts), none, shapes).count() == 0
+
+
+def test_huge_regions(spark):
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate([(-180, -90), (180, 90), (0.5, 0.5), (179.99, 0), (-100, 45)])]
+    probes = [(1, 0.0, 0.0, 200.0), (2, 5.0, 5.0, 2e5), (3, 0.0, 0.0, 1e6), (4, -170.0, 80.0, float("inf")), (5, 900.0, 0.0, 721.0), (6, 900.0, 0.0, 1.0), (7, 0.0, 0.0, 1.7e308), (8, float("inf"), 0.0, 5.0)]
+    discs = N.disc_regions(spark.createDataFrame(probes, "point_id bigint, lon double, lat double, radius_deg double"), "point", "point_id", "radius_deg")
+    assert N.cover(discs).count() < 400 * len(probes)
+    ve = spark.createDataFrame([], "zone_id bigint, ring_no int, vertex_no int, lon double, lat double")
+    _, shapes = N.zone_regions(ve, "zone")
+    got = sorted((r["rid"], r["id"]) for r in N.points_in_regions(points_df(spark, pts), discs, shapes).collect())
+    assert got == sorted((q[0], p[0]) for q in probes for p in pts if math.isfinite(q[1]) and math.hypot(q[1] - p[1], q[2] - p[2]) <= q[3])
+
+
+def test_zone_of_holes_only(spark):
+    ve = spark.createDataFrame([(9, 1, 0, 0.0, 0.0), (9, 1, 1, 1.0, 0.0), (9, 1, 2, 1.0, 1.0)], "zone_id bigint, ring_no int, vertex_no int, lon double, lat double")
+    box, shapes = N.zone_regions(ve, "zone")
+    disc = N.disc_regions(spark.createDataFrame([(1, 0.5, 0.2, 0.1)], "point_id bigint, lon double, lat double, radius_deg double"), "point", "point_id", "radius_deg")
+    assert [tuple(r) for r in N.points_in_regions(points_df(spark, [(4, 0.5, 0.2)]), box.unionByName(disc), shapes).collect()] == [("point", 1, 4)]
