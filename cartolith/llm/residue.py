@@ -271,7 +271,7 @@ def rest_of(text: str) -> list[tuple[str, bool]]:
         sk = skeleton(line)
         if not sk or _is_menu(sk):
             continue
-        parts = [x for x in map(skeleton, _SENTENCE.split(line)) if x and not _boilerplate(x)]
+        parts = [x for x in _SENTENCE.split(sk) if x and not _boilerplate(x)]
         if len(parts) == 1 and not out and not _TITLE_END.search(line) and level(parts[0]) != 2:
             out.append((parts[0], True))
         else:
@@ -279,9 +279,12 @@ def rest_of(text: str) -> list[tuple[str, bool]]:
     return [(out[0][0], False)] if len(out) == 1 else out
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def template(sk: str) -> str:
     """A sentence with everything that holds a digit masked."""
-    return re.sub(r"\S*\d\S*", "0", sk)
+    return " ".join("0" if _DIGIT.search(w) else w for w in sk.split(" ")) if _DIGIT.search(sk) else sk
 
 
 def _key(s: str) -> int:
@@ -312,7 +315,7 @@ def take_apart(url: str | None, text: str, host: str | None = None) -> tuple[dic
         words += sk.count(" ") + 1
     slug = _slug_words(url)
     terms = slug | set(re.findall(r"[a-z]{3,}", title))
-    own = any(not lv and terms & set(re.findall(r"[a-z]{3,}", t)) for t, lv in body.items())
+    own = any(not lv and any(w in t and re.search(rf"(?<![a-z]){w}(?![a-z])", t) for w in terms) for t, lv in body.items())
     return body, title or " ".join(sorted(slug)) or f"{host} {url}", own, words
 
 
