@@ -1,24 +1,32 @@
 """Full hierarchies from parent-child links of unknown depth.
 
-Leaves are peeled from the bottom, a round at a time, each sending the list of
-what is below it to its parents; hierarchy() peels without lists, only to find
-loops. Paths and depths are assigned from the top, by length of chain; subtree
-sizes are not built. Links that can be peeled neither from below
-nor from above contain the loops, which are split into strongly connected
-parts by spreading the greatest id that reaches a node. Every round writes its
-result to the shared folder: lineage stays short, nothing is gathered on the
+Links are split into connected groups. A group of up to GROUP_MOST links is
+peeled as a whole in one pass over sorted rows: leaves first, each sending the
+list of what is below it (a bit set, whose bits are the subtree's size) to its
+parents; what cannot be peeled holds the loops, whose strongly connected parts
+are peeled in turn as nodes of their own; paths and depths are assigned in
+reverse order of peeling. Larger groups are peeled round by round as tables:
+each round writes its result to the shared folder, nothing is gathered on the
 driver but row counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, saved, together
+from ..session import materialize, rounds, saved, ship, together
 from ..sources.tables import current, member_kind, table
+from .graph import components
+
+#: Links a connected group may have to be peeled by one task; its lists then take 2 MB at most. Larger ones are peeled as tables.
+GROUP_MOST = 4096
 
 
 def relation_links(spark, root: str) -> DataFrame:
@@ -158,16 +166,190 @@ def chains(links: DataFrame) -> DataFrame:
     return together(out)
 
 
+@dataclass
+class Group:
+    """A connected group of links, peeled: nodes ascending, and by their numbers the order of peeling, lists below, and parts of loops."""
+
+    nodes: list[int]
+    parents: list[list[int]]
+    order: list[int]
+    below: list[int]
+    loop: dict[int, list[int]]
+
+    @classmethod
+    def of(cls, links: list[tuple[int, int]]) -> Group:
+        nodes = sorted({x for link in links for x in link})
+        number = {x: k for k, x in enumerate(nodes)}
+        parents, children = [[] for _ in nodes], [[] for _ in nodes]
+        for a, b in links:
+            parents[number[b]].append(number[a])
+            children[number[a]].append(number[b])
+        below, left = [0] * len(nodes), [len(c) for c in children]
+        order = [k for k, n in enumerate(left) if not n]
+        for k in order:  # grows as leaves arise
+            for up in parents[k]:
+                below[up] |= below[k] | 1 << k
+                left[up] -= 1
+                if not left[up]:
+                    order.append(up)
+        loop: dict[int, list[int]] = {}
+        for part in strong_parts([k for k, n in enumerate(left) if n], children, left):
+            got = 0
+            for k in part:
+                for c in children[k]:
+                    got |= below[c] | 1 << c
+            for k in part:
+                below[k] = got
+            if got >> part[0] & 1:
+                loop |= dict.fromkeys(part, sorted(part))
+            order.extend(part)
+        return cls(nodes, parents, order, below, loop)
+
+    def rows(self) -> Iterator[tuple[int, str, list[int], int]]:
+        """rel_id, state, path and number of distinct nodes below, in reverse order of peeling."""
+        under = 0
+        for k in self.loop:
+            under |= self.below[k]
+        for k in reversed(self.order):
+            node, n = self.nodes[k], self.below[k].bit_count()
+            if k in self.loop:
+                yield node, "cycle", [self.nodes[j] for j in self.loop[k]], n
+            elif under >> k & 1:
+                yield node, "below", [], n
+            else:
+                for chain in self.chains(k):
+                    yield node, "tree", chain, n
+
+    def chains(self, k: int) -> Iterator[list[int]]:
+        """Each chain from a node without parent down to k, one at a time."""
+        path, todo = [k], [iter(self.parents[k])]
+        while path:
+            if not self.parents[path[-1]]:
+                yield [self.nodes[j] for j in reversed(path)]
+            up = next(todo[-1], None)
+            if up is None:
+                path.pop()
+                todo.pop()
+            else:
+                path.append(up)
+                todo.append(iter(self.parents[up]))
+
+    def lists(self) -> Iterator[tuple[int, list[int]]]:
+        """Each node with the nodes below it."""
+        for k in self.order:
+            bits = np.unpackbits(np.frombuffer(self.below[k].to_bytes(len(self.nodes) // 8 + 1, "little"), np.uint8), bitorder="little")
+            yield self.nodes[k], [self.nodes[j] for j in np.flatnonzero(bits)]
+
+
+def strong_parts(nodes: list[int], children: list[list[int]], left: list[int]) -> list[list[int]]:
+    """Strongly connected parts of nodes, each after all parts below it; nodes whose left is 0 do not count.
+
+    Parts are the groups of one low point in a walk that numbers nodes as it meets them.
+    """
+    seen, low, held, out = {}, {}, [], []
+    for start in nodes:
+        if start in seen:
+            continue
+        seen[start] = low[start] = len(seen)
+        held.append(start)
+        walk = [(start, iter(children[start]))]
+        while walk:
+            at, kids = walk[-1]
+            for c in kids:
+                if not left[c]:
+                    continue
+                if c not in seen:
+                    seen[c] = low[c] = len(seen)
+                    held.append(c)
+                    walk.append((c, iter(children[c])))
+                    break
+                if low[c] >= 0:  # still held
+                    low[at] = min(low[at], seen[c])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
+                if low[at] == seen[at]:
+                    part = []
+                    while not part or part[-1] != at:
+                        part.append(held.pop())
+                        low[part[-1]] = -1
+                    out.append(part)
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
+    """Links of one part after the other, from rows sorted by part."""
+    flat = ((p, (a, b)) for batch in batches for p, a, b in zip(*(batch.column(k).to_pylist() for k in ("part", "parent", "child"))))
+    for _, rows in groupby(flat, key=lambda x: x[0]):
+        yield [link for _, link in rows]
+
+
+def _peel_groups(each: Callable[[Group], Iterator[tuple]], schema: pa.Schema, weight: Callable[[tuple], int]) -> Callable:
+    """For mapInArrow: rows of each group, in batches of bounded weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, heavy = [], 0
+        for links in _grouped(batches):
+            for row in each(Group.of(links)):
+                rows.append(row)
+                heavy += weight(row)
+                if heavy > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, heavy = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _split(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """Links of small groups with their part, sorted for _peel_groups; links of large ones, or None; and the number of all links."""
+    links, seen = saved(links.select("parent", "child").dropna().distinct(), "links")
+    n = seen["n"]
+    if not n:
+        return links.withColumn("part", F.lit(0).cast("bigint")), None, 0
+    ship(links.sparkSession)
+    part = components(links.select(F.col("parent").alias("u"), F.col("child").alias("v")), n)
+    with rounds(links.sparkSession, n):
+        marked, seen = saved(links.join(part.withColumnRenamed("node", "parent"), "parent").select("part", "parent", "child"), "parts")
+        sizes, big = saved(marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_MOST).select("part"), "large")
+    if not big["n"]:
+        return marked, None, n
+    return marked.join(sizes, "part", "left_anti"), materialize(marked.join(sizes, "part", "left_semi").select("parent", "child"), "large-links"), n
+
+
+def _in_groups(small: DataFrame, run: Callable, schema: str) -> DataFrame:
+    return small.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
 def hierarchy(links: DataFrame) -> DataFrame:
-    """rel_id, state ('tree', 'cycle', 'below'), path (array), top, depth, of every node with a link.
+    """rel_id, state ('tree', 'cycle', 'below'), path (array), top, depth, n_below, of every node with a link.
 
     A node that reaches itself is in a cycle: path lists the nodes of its
     strongly connected part, ascending. One that a cycle reaches is below it and
     has an empty path. Any other has one row for each chain from a node without
-    parent. top and depth (0 at the top) are null but for trees. Repeated links
-    count once, a link with a null end is ignored; no links give no rows.
+    parent. top and depth (0 at the top) are null but for trees. n_below is the
+    number of distinct nodes below. Repeated links count once, a link with a null
+    end is ignored; no links give no rows.
     """
-    links = materialize(links.select("parent", "child").dropna().distinct(), "links")
+    small, large, n = _split(links)
+    schema = pa.schema([("rel_id", pa.int64()), ("state", pa.string()), ("path", pa.list_(pa.int64())), ("n_below", pa.int64())])
+    run = _peel_groups(Group.rows, schema, lambda row: 1 + len(row[2]))
+    out = _in_groups(small, run, "rel_id bigint, state string, path array<bigint>, n_below bigint")
+    if large is not None:
+        with rounds(links.sparkSession, n):
+            sizes = _lists_of_large(large).groupBy("rel_id").agg(F.count(F.lit(1)).alias("n_below"))
+            more = _large_hierarchy(large)
+        more = more.join(sizes, "rel_id", "left")
+        out = out.unionByName(more.select("rel_id", "state", "path", F.coalesce("n_below", F.lit(0)).cast("bigint").alias("n_below")))
+    is_tree = F.col("state") == "tree"
+    return out.select(
+        "rel_id", "state", "path", F.when(is_tree, F.get("path", F.lit(0))).alias("top"), F.when(is_tree, F.size("path") - 1).alias("depth"), "n_below")
+
+
+def _large_hierarchy(links: DataFrame) -> DataFrame:
+    """rel_id, state, path of groups too large for one task, from tables."""
     rest = peel(links)
     spark = links.sparkSession
     if rest.n_rest:
@@ -187,31 +369,27 @@ def hierarchy(links: DataFrame) -> DataFrame:
         tree = chains(links)
         cyc = low = spark.createDataFrame([], "node bigint, state string, path array<bigint>")
     rows = tree.select("node", F.lit("tree").alias("state"), "path").unionByName(cyc).unionByName(low)
-    is_tree = F.col("state") == "tree"
-    return rows.select(
-        F.col("node").alias("rel_id"), "state", "path",
-        F.when(is_tree, F.get("path", F.lit(0))).alias("top"), F.when(is_tree, F.size("path") - 1).alias("depth"))
+    return rows.select(F.col("node").alias("rel_id"), "state", "path")
 
 
 def descendants(links: DataFrame) -> DataFrame:
-    """rel_id, below of every node and each distinct node below it.
-
-    Nodes from which a loop can be reached have none here, as in the SQL of p6_descendants; all_descendants() has theirs too.
-    """
-    links = links.select("parent", "child").dropna().distinct()
-    below = peel(links, lists=True).below
-    if below is None:
-        return links.sparkSession.createDataFrame([], "rel_id bigint, below bigint")
-    return below.select(F.col("node").alias("rel_id"), "below")
+    """rel_id, below of every node and each distinct node below it, loops or not; a node in a loop is below itself."""
+    small, large, n = _split(links)
+    schema = pa.schema([("rel_id", pa.int64()), ("below", pa.list_(pa.int64()))])
+    run = _peel_groups(Group.lists, schema, lambda row: 1 + len(row[1]))
+    out = _in_groups(small, run, "rel_id bigint, below array<bigint>").select("rel_id", F.explode("below").alias("below"))
+    if large is None:
+        return out
+    with rounds(links.sparkSession, n):
+        return out.unionByName(_lists_of_large(large))
 
 
-def all_descendants(links: DataFrame) -> DataFrame:
-    """rel_id, below of every node and each distinct node below it, loops or not; a node in a loop is below itself.
+def _lists_of_large(links: DataFrame) -> DataFrame:
+    """rel_id, below of groups too large for one task.
 
     Each loop is condensed to one node, lists are made by peeling what that
     leaves, and the members of loops take its place in them on both sides.
     """
-    links = materialize(links.select("parent", "child").dropna().distinct(), "links")
     part = materialize(loops(links), "parts")
     ends = links
     for side in ("parent", "child"):

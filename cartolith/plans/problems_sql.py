@@ -59,9 +59,7 @@ links AS MATERIALIZED (SELECT DISTINCT rel_id AS parent, ref_id AS child FROM {c
 _REACH = f"""
 WITH RECURSIVE {_LINKS},
 reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON r.b = l.parent)"""
-P6_BELOW = _REACH + """
-SELECT a AS rel_id, b AS below FROM reach WHERE a NOT IN (SELECT a FROM reach r WHERE r.b IN (SELECT a FROM reach WHERE a = b))
-AND a NOT IN (SELECT a FROM reach WHERE a = b)"""
+P6_BELOW = _REACH + " SELECT a AS rel_id, b AS below FROM reach"
 P6 = _REACH.rstrip() + """,
 cyc AS (SELECT a AS n FROM reach WHERE a = b),
 under AS (SELECT DISTINCT b AS n FROM reach WHERE a IN (SELECT n FROM cyc) AND b NOT IN (SELECT n FROM cyc)),

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of rows a side may have before it is no longer broadcast.
 BROADCAST_LIMIT = 32 << 20
 
+#: Rows up to which steps of an iteration are planned as one job.
+ROUND_ROWS = 2_000_000
+
 _own_scratch: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -84,6 +89,27 @@ def saved(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+@contextmanager
+def rounds(spark: SparkSession, n: int) -> Iterator[None]:
+    """For iterations over about n rows: while they are few, each step is one job of few tasks, planned without looking back.
+
+    Above ROUND_ROWS nothing changes: adaptive execution then splits hot keys.
+    """
+    if n > ROUND_ROWS:
+        yield
+        return
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": str(min(now, 1 + n // 100_000))}
+    before = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables this session wrote; call when results are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
