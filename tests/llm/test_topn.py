@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cartolith.llm.topn import top_items, top_slots
@@ -19,6 +20,19 @@ def test_hot_group_spans_partitions(spark):
         assert got == want
 
 
+def test_one_group_over_all_partitions(spark):
+    df = spark.range(40_000).select(F.lit(7).cast("bigint").alias("g"), F.col("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows would fit one task
+    try:
+        out = top_items(df, "g", [F.desc("id")], None, ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.where("top_no <> 40000 - id").count() == 0 and out.count() == 40_000
+    most = max(pq.read_metadata(f.removeprefix("file://")).num_rows for f in out.inputFiles())
+    assert most < 40_000 * 0.6  # no task holds the group
+    assert [tuple(r) for r in top_items(df, "g", [F.desc("id")], 2, ["id"]).orderBy("top_no").collect()] == [(7, 39_999, 1), (7, 39_998, 2)]
+
+
 def test_slots(spark):
     rows = [("node", i, 1, s) for i, s in enumerate([5, 5, 6, 6, 7, 8])] + [("way", 1, 2, 9)]
     df = spark.createDataFrame(rows, "etype string, id bigint, key_idx bigint, slot bigint")
