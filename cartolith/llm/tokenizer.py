@@ -9,6 +9,7 @@ when bytes are appended; an edit needs new entries from the edit onwards only.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,15 +57,27 @@ class Encoder:
                 self._pairs.clear()
         return v
 
-    def extend(self, last: list[int], data: bytes) -> None:
-        """Adds the last token of each prefix of data from len(last) + 1 bytes on."""
-        ranks, at = self.ranks, len(last)
-        for end in range(at + 1, len(data) + 1):
+    def extend(self, last: list[int], data: bytes, old: list[int] | None = None, same: int = 0) -> None:
+        """Adds the last token of each prefix of data from len(last) + 1 bytes on.
+
+        old may be the table of a string that ends in the same `same` bytes: an
+        entry depends on no more entries than the longest token has bytes, so once
+        that many agree the others are taken over.
+        """
+        ranks, total, agree = self.ranks, len(data), 0
+        for end in range(len(last) + 1, total + 1):
             for start in range(max(0, end - self.longest), end):
                 t = ranks.get(data[start:end])
                 if t is not None and (not start or self.valid_pair(last[start - 1], t)):
                     last.append(t)
                     break
+            else:
+                raise ValueError(f"the vocabulary has no token that ends byte {end} of {data[:40]!r}")
+            if old is not None and end > total - same:
+                agree = agree + 1 if old[len(old) - total + end - 1] == last[-1] else 0
+                if agree >= self.longest:
+                    last.extend(old[len(old) - total + end :])
+                    return
 
     def read(self, last: list[int]) -> list[int]:
         """The encoding a table of last tokens stands for."""
@@ -75,9 +88,6 @@ class Encoder:
         return out[::-1]
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
-        if whole is not None and self._merge(data) == [whole]:
-            return [whole]
         last: list[int] = []
         self.extend(last, data)
         return self.read(last)
@@ -99,16 +109,28 @@ class Encoder:
         return out
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Number of bytes that a and b begin with alike."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 class Encoding:
     """A text that is appended to and edited, with its ids kept up to date.
 
-    A cut of the text is settled once two characters follow it; a change so
-    re-encodes from the last settled cut before it up to where the old cuts are
-    met again.
+    Each word between two cuts has its bytes and its table of last tokens. A cut
+    is settled once two characters follow it; a change so cuts anew from the last
+    settled cut before it up to where the old cuts are met again. Of a word that
+    is cut anew at the place of an old one, table entries before the change stay
+    as they are, and those behind it are taken over once they agree: an append to
+    one long word costs what is appended, an edit its surroundings.
     """
 
     def __init__(self, encoder: Encoder, text: str = ""):
-        self.encoder, self.text, self.cuts, self.ids = encoder, "", [], []
+        self.encoder, self.text, self.cuts, self.words = encoder, "", [], []
         self.replace(0, 0, text)
 
     def append(self, text: str) -> None:
@@ -116,24 +138,32 @@ class Encoding:
 
     def replace(self, at: int, length: int, new: str) -> None:
         """Puts new in the place of length characters from at."""
-        old, keep = self.cuts, 0
-        while keep < len(old) and old[keep] + 3 <= at:
-            keep += 1
+        old, keep = self.cuts, bisect_right(self.cuts, at - 3)
         self.text = self.text[:at] + new + self.text[at + length :]
-        moved = {c + len(new) - length: k for k, c in enumerate(old) if c >= at + length}
-        pos, cuts, ids, rest = (old[keep - 1] if keep else 0), [], [], None
+        moved = {c + len(new) - length: k for k, c in enumerate(old[keep:], keep) if c >= at + length}
+        starts = {c: k for k, c in zip(range(keep, len(old)), [old[keep - 1] if keep else 0, *old[keep:]])}
+        pos, cuts, words, rest = (old[keep - 1] if keep else 0), [], [], None
         for m in self.encoder.pattern.finditer(self.text, pos):
             cuts.append(m.end())
-            ids.append(self.encoder.encode_bytes(m.group().encode("utf-8", "surrogatepass")))
+            words.append(self._word(m.group().encode("utf-8", "surrogatepass"), starts.get(m.start()) if m.start() <= at else None))
             if m.end() > at + len(new) and m.end() in moved:
                 rest = moved[m.end()] + 1
                 break
         tail = [c + len(new) - length for c in old[rest:]] if rest is not None else []
-        tail_ids = self.ids[rest:] if rest is not None else []
-        self.cuts, self.ids = old[:keep] + cuts + tail, self.ids[:keep] + ids + tail_ids
+        tail_words = self.words[rest:] if rest is not None else []
+        self.cuts, self.words = old[:keep] + cuts + tail, self.words[:keep] + words + tail_words
+
+    def _word(self, data: bytes, before: int | None) -> tuple[bytes, list[int]]:
+        """A word and its table, from that of the word which began there before."""
+        was, table = self.words[before] if before is not None else (b"", [])
+        n = _shared(was, data)
+        same = _shared(was[n:][::-1], data[n:][::-1])
+        last = table[:n]
+        self.encoder.extend(last, data, table, same)
+        return data, last
 
     def tokens(self) -> list[int]:
-        return [t for ids in self.ids for t in ids]
+        return [t for _, table in self.words for t in self.encoder.read(table)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -53,6 +53,42 @@ def test_appends_and_edits():
             assert x.tokens() == REF.encode_ordinary(x.text)
 
 
+class Counting(T.Encoder):
+    """Counts the table entries that are worked out."""
+
+    made = 0
+
+    def valid_pair(self, a, b):
+        self.made += 1
+        return super().valid_pair(a, b)
+
+
+def test_changes_of_a_long_word_cost_their_surroundings():
+    rnd = random.Random(9)
+    word = "".join(rnd.choices("abcdefghilmnoprstu", k=4000))
+    enc = Counting(VOC)
+    x = T.Encoding(enc, word)
+    whole, enc.made = enc.made, 0
+    x.append("ing")
+    assert x.tokens() == REF.encode_ordinary(word + "ing") and enc.made < whole / 50
+    enc.made = 0
+    x.replace(2000, 3, "zzyx")
+    assert x.tokens() == REF.encode_ordinary(x.text) and enc.made < whole / 4
+    x.replace(1990, 900, "")
+    assert x.tokens() == REF.encode_ordinary(x.text)
+
+
+def test_every_token_is_its_own_encoding():
+    assert all(ENC.encode_bytes(t) == [r] for t, r in list(RANKS.items())[::7])
+
+
+def test_vocabulary_without_a_byte():
+    enc = T.Encoder(b"YQ== 0\nYg== 1")  # a, b
+    assert enc.encode_bytes(b"ab") == [0, 1]
+    with pytest.raises(ValueError):
+        enc.encode_bytes(b"abc")
+
+
 def test_table(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "x"), (0, "again")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
