@@ -83,25 +83,26 @@ def make_dataset(spark, tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def small_map(make_dataset):
-    """Six nodes, three ways, three relations with tags."""
+    """A hillside: seven nodes, three ways, three relations, with tags."""
     from datetime import datetime
 
-    t = (datetime(2023, 1, 1), datetime(2023, 1, 2))
-    places = [(-77.05, 38.88), (-77.03, 38.90), (-77.025, 38.905), (-77.015, 38.895), (-77.00, 38.92), (-77.02, 38.902)]
-    tags = {
-        ("node", 0): "amenity=cafe name=West", ("node", 1): "amenity=cafe name=Alpha", ("node", 2): "amenity=cafe highway=crossing",
-        ("node", 3): "highway=bus_stop shelter=yes", ("node", 4): "amenity=cafe name=East", ("node", 5): "shop=books name=Central",
-        ("way", 0): "highway=residential name=Main", ("way", 1): "highway=primary name=Long", ("way", 2): "building=yes amenity=cafe",
-        ("relation", 0): "type=route route=bus", ("relation", 1): "type=multipolygon name=No_Location", ("relation", 2): "type=site amenity=cafe",
-    }
-    pairs = sorted({tuple(x.split("=")) for v in tags.values() for x in v.split()})
-    keys = sorted({k for k, _ in pairs})
-    rows = [(e, i, k, v, keys.index(k), pairs.index((k, v)), *t) for (e, i), s in tags.items() for k, v in (x.split("=") for x in s.split())]
-    refs = {0: [1, 2], 1: [0, 4], 2: [2, 5]}
-    members = {0: [("node", 1), ("way", 0), ("node", 1)], 1: [("way", 1), ("relation", 0), ("relation", 0)], 2: [("node", 2), ("Way ", 2), ("relation", 0)]}
+    t = (datetime(2022, 5, 1), datetime(2022, 5, 3))
+    nodes = [
+        (10, 11.390, 47.260, {"natural": "peak", "name": "Gipfel"}), (11, 11.401, 47.266, {"amenity": "bench"}),
+        (12, 11.404, 47.269, {"amenity": "bench", "backrest": "yes", "name": "Rast"}), (13, 11.409, 47.262, {"highway": "stop"}),
+        (14, 11.430, 47.280, {"amenity": "fountain", "name": "Brunn"}), (15, 11.406, 47.271, {"amenity": "bench", "shop": "bakery"}), (16, 11.398, 47.2655, {})]
+    ways = [(20, [11, 12, 16], {"highway": "path", "surface": "gravel"}), (21, [10, 14], {"highway": "track", "name": "Weg"}), (22, [12, 15, 13, 12], {"landuse": "meadow", "amenity": "bench"})]
+    relations = [
+        (30, (11.400, 47.265, 11.405, 47.270), [("node", 11), ("way", 20), ("way", 20)], {"type": "route", "route": "hiking"}),
+        (31, (None,) * 4, [("way", 21), ("relation", 30), ("relation", 30)], {"type": "collection", "name": "Alles"}),
+        (32, (11.403, 47.268, 11.410, 47.272), [("node", 15), ("Way ", 22), ("relation", 30)], {"type": "site", "amenity": "bench"})]
+    carried = [(e, x[0], k, v) for e, xs in (("node", nodes), ("way", ways), ("relation", relations)) for x in xs for k, v in x[-1].items()]
+    slots = sorted({(k, v) for *_, k, v in carried} | {("amenity", "unused")})
+    numbers = {k: n for n, k in enumerate(sorted({k for k, _ in slots}))}
     return make_dataset(
-        nodes=[(i, x, y, True, *t) for i, (x, y) in enumerate(places)], ways=[(i, True, *t) for i in refs],
-        way_refs=[(w, p, n, *t) for w, ns in refs.items() for p, n in enumerate(ns)],
-        relations=[(0, -77.031, 38.899, -77.024, 38.906, True, *t), (1, None, None, None, None, True, *t), (2, -77.026, 38.901, -77.019, 38.906, True, *t)],
-        members=[(r, p, k, i, "", *t) for r, ms in members.items() for p, (k, i) in enumerate(ms)],
-        tags=rows, tag_slots=[(n, keys.index(k), k, v) for n, (k, v) in enumerate(pairs)])
+        nodes=[(i, x, y, True, *t) for i, x, y, _ in nodes], ways=[(i, True, *t) for i, *_ in ways],
+        way_refs=[(i, p, n, *t) for i, refs, _ in ways for p, n in enumerate(refs)],
+        relations=[(i, *box, True, *t) for i, box, *_ in relations],
+        members=[(i, p, kind, ref, "", *t) for i, _, ms, _ in relations for p, (kind, ref) in enumerate(ms)],
+        tags=[(e, i, k, v, numbers[k], slots.index((k, v)), *t) for e, i, k, v in carried],
+        tag_slots=[(n, numbers[k], k, v) for n, (k, v) in enumerate(slots)])

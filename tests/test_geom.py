@@ -16,8 +16,9 @@ def lits(*xs):
 
 
 @pytest.mark.parametrize("p,a,b,inside,outside", [
-    ((5, 3), (0, 0), (10, 0), 9, 8), ((13, 4), (0, 0), (10, 0), 25, 24), ((-3, -4), (0, 0), (10, 0), 25, 24),
-    ((0, 4), (0, 0), (4, 4), 8, 7), ((3, 4), (0, 0), (0, 0), 25, 24),
+    ((7, 2), (1, 9), (20, 9), 49, 48), ((26, 17), (1, 9), (20, 9), 100, 99), ((-4, -3), (1, 9), (20, 9), 169, 168),
+    ((6, 0), (0, 0), (6, 6), 18, 17), ((2, 1), (0, 0), (3, 4), 1, 0), ((8, 15), (0, 0), (0, 0), 289, 288),
+    # corners of the world
     ((0, 0), (-1800000000, -900000000), (1800000000, 900000000), 0, None), ((0, 1), (-1800000000, -900000000), (1800000000, 900000000), 1, 0)])
 def test_segment_within(spark, p, a, b, inside, outside):
     at = lits(*p, *a, *b)
@@ -26,16 +27,17 @@ def test_segment_within(spark, p, a, b, inside, outside):
     assert outside is None or not value(spark, G.segment_within(*at, r(outside)))
 
 
-SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10)]
+#: A right-angled corner: two arms of a hook.
+HOOK = [(0, 0), (12, 0), (12, 3), (3, 3), (3, 12), (0, 12)]
 
 
 @pytest.mark.parametrize("seg,hit", [
-    ((5, 5, 20, 20), True), ((-5, 5, 15, 5), True), ((10, -5, 10, 20), True), ((10, 10, 20, 20), True), ((-5, 16, 16, -5), True), ((-5, 25, 25, -5), True),
-    ((20, 0, 30, 10), False), ((-5, 26, 26, -5), False)])
-def test_square_and_segments(spark, seg, hit):
-    poly = G.Polygon([(x / G.SCALE, y / G.SCALE) for x, y in SQUARE])
-    poly.vertices = SQUARE
-    lit = [tuple(lits(*v)) for v in SQUARE]
+    ((1, 1, 2, 2), True), ((-4, 6, 9, 6), True), ((3, 3, 8, 8), True), ((12, 3, 15, 9), True), ((6, -2, 6, 0), True), ((-1, 13, 1, 11), True), ((14, 2, 2, 14), False), ((16, -4, -4, 16), True),
+    ((4, 4, 12, 12), False), ((4, 11, 11, 4), False), ((13, 0, 13, 3), False), ((-3, -1, 14, -1), False)])
+def test_hook_and_segments(spark, seg, hit):
+    poly = G.Polygon([(x / G.SCALE, y / G.SCALE) for x, y in HOOK])
+    poly.vertices = HOOK
+    lit = [tuple(lits(*v)) for v in HOOK]
     poly._edges = list(zip([lit[-1], *lit[:-1]], lit))
     assert value(spark, poly.segment(*lits(*seg))) is hit
 
