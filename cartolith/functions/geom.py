@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import SCALE, degrees
+from ..model import SCALE, degrees  # noqa: F401
 
 EARTH_M = 6378137.0
 
@@ -22,9 +22,29 @@ def big(c: Column | int) -> Column:
     return (F.lit(c) if isinstance(c, int) else c).cast("decimal(18,0)")
 
 
+#: What a stored coordinate or radius can be at least and at most.
+LEAST, MOST = -(2**31), 2**31 - 1
+
+
 def units(v: float) -> int:
-    """Whole units of a coordinate, cut towards zero."""
-    return int(v * SCALE)
+    """Whole units of a coordinate, cut towards zero; one beyond what can be stored is the last that can."""
+    return int(max(float(LEAST), min(float(MOST), v * SCALE)))
+
+
+def first_from(v: float) -> int:
+    """The least number of units that is v degrees or more."""
+    u = math.floor(v * SCALE) - 1
+    while u / SCALE < v:
+        u += 1
+    return u
+
+
+def last_until(v: float) -> int:
+    """The greatest number of units that is v degrees or less."""
+    u = math.ceil(v * SCALE) + 1
+    while u / SCALE > v:
+        u -= 1
+    return u
 
 
 def dist_sq(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -92,19 +112,20 @@ class Box:
             return None
         return Box(max(a, -180.0), max(b, -90.0), min(c, 180.0), min(d, 90.0))
 
-    def has_point(self, lon: Column, lat: Column) -> Column:
+    def in_units(self) -> tuple[int, int, int, int] | None:
+        """The clamped sides in whole units, so that tests on them are plain comparisons which reach the scan; None as for clamped()."""
         b = self.clamped()
-        if b is None:
+        return b and (first_from(b.sides[0]), first_from(b.sides[1]), last_until(b.sides[2]), last_until(b.sides[3]))
+
+    def has_point(self, lon: Column, lat: Column) -> Column:
+        if (u := self.in_units()) is None:
             return F.lit(False)
-        x0, y0, x1, y1 = b.sides
-        return degrees(lon).between(x0, x1) & degrees(lat).between(y0, y1)
+        return lon.between(u[0], u[2]) & lat.between(u[1], u[3])
 
     def overlaps(self, min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
-        b = self.clamped()
-        if b is None:
+        if (u := self.in_units()) is None:
             return F.lit(False)
-        x0, y0, x1, y1 = b.sides
-        return (degrees(max_lon) >= x0) & (degrees(min_lon) <= x1) & (degrees(max_lat) >= y0) & (degrees(min_lat) <= y1)
+        return (max_lon >= u[0]) & (min_lon <= u[2]) & (max_lat >= u[1]) & (min_lat <= u[3])
 
 
 class Radius:
@@ -116,7 +137,7 @@ class Radius:
             self.box = Box(lon - radius, lat - radius, lon + radius, lat + radius)
             self.x, self.y = F.lit(units(lon)).cast("bigint"), F.lit(units(lat)).cast("bigint")
             self.center = (units(lon), units(lat))
-            self.r = math.ceil(radius * SCALE)
+            self.r = min(MOST, math.ceil(radius * SCALE))
             self.r_sq = F.lit(self.r * self.r).cast("decimal(38,0)") if self.r * self.r < 2**63 else F.expr(f"cast('{self.r * self.r}' as decimal(38,0))")
 
     def point(self, x: Column, y: Column) -> Column:

@@ -16,8 +16,8 @@ KINDS = ("node", "way", "relation")
 
 
 def scaled(c: Column) -> Column:
-    """Whole units of a coordinate in degrees, cut towards zero."""
-    return (c * float(SCALE)).cast("bigint")
+    """Whole units of a coordinate in degrees, cut towards zero and to 32 bits."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c * float(SCALE), F.lit(-(2.0**31))), F.lit(2.0**31 - 1))).cast("bigint")
 
 
 def degrees(c: Column) -> Column:

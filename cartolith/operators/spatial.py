@@ -7,16 +7,18 @@ stored box never match. Distances are planar, in degrees.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..model import Dataset
-from ..session import materialize, saved, together
+from ..session import rounds, saved, together
 
 _NONE = "id bigint"
+BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
 
 class Spatial:
@@ -51,16 +53,18 @@ class Spatial:
         """root, kind (0 node, 1 way), ref_id of all members below roots (id), through relations; loops end."""
         links = self.data.members.where("kind = 2 and ref_id is not null").select(F.col("rel_id").alias("rel"), F.col("ref_id").alias("next")).distinct()
         links = links.join(self.data.relations.select(F.col("id").alias("next")), "next", "left_semi")
-        links = materialize(links.select("rel", "next"), "links")
-        front = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("rel")).distinct(), "roots")
+        links, many = saved(links.select("rel", "next"), "links")
+        front, n = saved(roots.select(F.col("id").alias("root"), F.col("id").alias("rel")).distinct(), "roots")
         fronts = [front]
-        while True:
-            nxt = front.join(links, "rel").select("root", F.col("next").alias("rel")).distinct()
-            front, n = saved(nxt.join(together(fronts), ["root", "rel"], "left_anti"), "front")
-            if not n["n"]:
-                break
-            fronts.append(front)
-        seen = together(fronts)
+        with rounds(self.spark, many["n"] + n["n"]):
+            while n["n"]:
+                nxt = front.join(links, "rel").select("root", F.col("next").alias("rel")).distinct()
+                front, n = saved(nxt.join(together(fronts), ["root", "rel"], "left_anti"), "front")
+                if n["n"]:
+                    fronts.append(front)
+        return self._parts_of(together(fronts))
+
+    def _parts_of(self, seen: DataFrame) -> DataFrame:
         m = self.data.members.where("kind in (0, 1) and ref_id is not null").select(F.col("rel_id").alias("rel"), "kind", "ref_id").distinct()
         return seen.join(m, "rel").select("root", "kind", "ref_id").distinct()
 
@@ -69,15 +73,15 @@ class Spatial:
         links = self.data.members.where("kind = 2 and ref_id is not null").select(F.col("rel_id"), F.col("ref_id").alias("reach")).distinct()
         ids = self.data.relations.select(F.col("id"))
         links = links.join(ids.select(F.col("id").alias("reach")), "reach", "left_semi").select("rel_id", "reach")
-        pairs = materialize(links.unionByName(ids.select(F.col("id").alias("rel_id"), F.col("id").alias("reach"))).distinct(), "closure")
-        n = pairs.count()
-        while True:
-            # paths of twice the length each time
-            far = pairs.alias("a").join(pairs.alias("b"), F.col("a.reach") == F.col("b.rel_id")).select("a.rel_id", "b.reach")
-            pairs = materialize(far.distinct(), "closure")
-            if (m := pairs.count()) == n:
-                return pairs
-            n = m
+        pairs, n = saved(links.unionByName(ids.select(F.col("id").alias("rel_id"), F.col("id").alias("reach"))).distinct(), "closure")
+        with rounds(self.spark, n["n"]):
+            while True:
+                # paths of twice the length each time
+                far = pairs.alias("a").join(pairs.alias("b"), F.col("a.reach") == F.col("b.rel_id")).select("a.rel_id", "b.reach")
+                more, m = saved(far.distinct(), "closure")
+                if m == n:
+                    return more
+                pairs, n = more, m
 
     # boxes
 
@@ -85,11 +89,11 @@ class Spatial:
         return self.data.nodes.where(box.has_point(F.col("lon"), F.col("lat"))).select("id")
 
     def ways_in_bbox(self, box: G.Box) -> DataFrame:
-        return self.way_boxes.where(box.overlaps(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))).select("id")
+        return self.way_boxes.where(box.overlaps(*(F.col(c) for c in BOX))).select("id")
 
     def relations_in_bbox(self, box: G.Box) -> DataFrame:
         r = self.data.relations
-        return r.where(box.overlaps(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))).select("id")
+        return r.where(box.overlaps(*(F.col(c) for c in BOX))).select("id")
 
     def in_bbox(self, etype: str, box: G.Box) -> DataFrame:
         return {"node": self.nodes_in_bbox, "way": self.ways_in_bbox, "relation": self.relations_in_bbox}[etype](box)
@@ -100,9 +104,13 @@ class Spatial:
         return self.spark.createDataFrame([], _NONE)
 
     def _near(self, shape):
-        """Whether a segment's box comes within a unit of the shape's: cheap, and true of all that touch."""
+        """Whether a segment's box comes within a unit of the shape's: cheap, true of all that touch, and fit to be pushed to a scan."""
         x0, y0, x1, y1 = (c * G.SCALE for c in shape.box.sides)
-        return (F.greatest("ax", "bx") >= x0 - 1) & (F.least("ax", "bx") <= x1 + 1) & (F.greatest("ay", "by") >= y0 - 1) & (F.least("ay", "by") <= y1 + 1)
+        ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+        low = lambda v: math.floor(max(v, -1e15)) - 1
+        high = lambda v: math.ceil(min(v, 1e15)) + 1
+        return (((ax >= low(x0)) | (bx >= low(x0))) & ((ax <= high(x1)) | (bx <= high(x1)))
+                & ((ay >= low(y0)) | (by >= low(y0))) & ((ay <= high(y1)) | (by <= high(y1))))
 
     def _hit_segments(self, shape) -> DataFrame:
         return self.segments.where(self._near(shape)).where(shape.segment(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))
@@ -116,7 +124,7 @@ class Spatial:
         hit = F.max(F.when(self._near(shape), shape.segment(*(F.col(c) for c in ("ax", "ay", "bx", "by")))).otherwise(False))
         box = [F.min(F.least("ax", "bx")).alias("min_lon"), F.min(F.least("ay", "by")).alias("min_lat"), F.max(F.greatest("ax", "bx")).alias("max_lon"), F.max(F.greatest("ay", "by")).alias("max_lat")]
         w = self.segments.groupBy(F.col("way_id").alias("id")).agg(hit.alias("hit"), *box, *more)
-        return w.where(F.col("hit") & shape.box.overlaps(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))))
+        return w.where(F.col("hit") & shape.box.overlaps(*(F.col(c) for c in BOX)))
 
     def nodes_touching(self, shape) -> DataFrame:
         return self._nodes(shape).select("id") if shape.valid else self._nothing()
@@ -125,17 +133,19 @@ class Spatial:
         return self._ways(shape).select("id") if shape.valid else self._nothing()
 
     def relations_touching(self, shape) -> DataFrame:
-        if not shape.valid:
-            return self._nothing()
+        return self._relations(shape, F.lit(0.0), F.lit(0.0)).select("id") if shape.valid else self._nothing()
+
+    def _relations(self, shape, node_d2: Column, segment_d2: Column) -> DataFrame:
+        """id, d2 (the least of what is given for nodes and segments) of relations whose stored box meets the shape's and of which a part touches it."""
         parts = self.relation_parts(self.relations_in_bbox(shape.box))
-        n = self.data.nodes.where(shape.point(F.col("lon"), F.col("lat"))) if shape.box.clamped() is None else self._near_nodes(shape)
-        w = self._hit_segments(shape).select(F.col("way_id").alias("ref_id")).distinct()
-        hit = parts.where("kind = 0").join(n.select(F.col("id").alias("ref_id")), "ref_id", "left_semi").select("root")
-        return hit.unionByName(parts.where("kind = 1").join(w, "ref_id", "left_semi").select("root")).select(F.col("root").alias("id")).distinct()
+        n = self._near_nodes(shape).select(F.lit(0).alias("kind"), F.col("id").alias("ref_id"), node_d2.cast("double").alias("d2"))
+        w = self._hit_segments(shape).groupBy(F.lit(1).alias("kind"), F.col("way_id").alias("ref_id")).agg(F.min(segment_d2).alias("d2"))
+        return parts.join(n.unionByName(w), ["kind", "ref_id"]).groupBy(F.col("root").alias("id")).agg(F.min("d2").alias("d2"))
 
     def _near_nodes(self, shape) -> DataFrame:
         x0, y0, x1, y1 = (c * G.SCALE for c in shape.box.sides)
-        n = self.data.nodes.where(F.col("lon").between(x0 - 1, x1 + 1) & F.col("lat").between(y0 - 1, y1 + 1))
+        low, high = lambda v: math.floor(max(v, -1e15)) - 1, lambda v: math.ceil(min(v, 1e15)) + 1
+        n = self.data.nodes.where(F.col("lon").between(low(x0), high(x1)) & F.col("lat").between(low(y0), high(y1)))
         return n.where(shape.point(F.col("lon"), F.col("lat")))
 
     def touching(self, etype: str, shape) -> DataFrame:
@@ -170,8 +180,9 @@ class Spatial:
             # the nearest segment of a way that is touched is near itself
             d = G.segment_dist_sq(x, y, *(F.col(c) for c in ("ax", "ay", "bx", "by")))
             return self._ways(shape, F.min(F.when(self._near(shape), d)).alias("d2")).select("id", "d2")
-        hit = materialize(self.relations_touching(shape), "hit")
-        return self._relation_dist(*shape.center, hit).select("id", "d2")
+        # what is nearest of a relation that is touched touches itself
+        d = G.segment_dist_sq(x, y, *(F.col(c) for c in ("ax", "ay", "bx", "by")))
+        return self._relations(shape, G.dist_sq(x, y, F.col("lon"), F.col("lat")), d).select("id", "d2")
 
     def nearest(self, etype: str, lon: float, lat: float, k: int) -> DataFrame:
         """The k nearest elements, ties by id: one pass with a bounded heap in each task."""
