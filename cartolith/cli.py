@@ -1,4 +1,4 @@
-"""Builds derived tables: python -m cartolith.cli [options] DATASET. Exit code 2 when nothing is asked for."""
+"""Builds derived tables, or tells land from water: python -m cartolith.cli [options] DATASET. Exit code 2 when nothing is asked for."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("dataset")
     p.add_argument("-o", "--output", help="folder to write to; DATASET.ext unless given")
     p.add_argument("--all", action="store_true", help="everything that needs no other input")
+    p.add_argument("--classify", nargs=2, type=float, action="append", metavar=("LON", "LAT"), help="print whether a point is on land; builds nothing, may be repeated")
     for f in fields(BuildOptions):
         flag = "--" + f.name.replace("_", "-")
         if f.name == "land_polygons":
@@ -25,12 +26,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def classify(dataset: str, points: list[list[float]]) -> int:
+    """Prints longitude, latitude and land or water of each point, by the dataset's coastline."""
+    from .operators import rings as R
+
+    spark = build_session()
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "id bigint, lon double, lat double")
+    land = dict(map(tuple, R.classify_points(df, R.shore_segments(Dataset(spark, dataset.rstrip("/")))).collect()))
+    for k, (x, y) in enumerate(points):
+        print(x, y, "land" if land[k] else "water")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     chosen = {f.name: getattr(a, f.name) for f in fields(BuildOptions)}
     if a.all:
         chosen |= {k: True for k in chosen if k != "land_polygons"}
     options = BuildOptions(**chosen)
+    if a.classify:
+        return classify(a.dataset, a.classify)
     if not options.any():
         print("nothing to build; name at least one part", file=sys.stderr)
         return 2

@@ -204,12 +204,16 @@ def mercator_lat(y: Column) -> Column:
 
 
 def ring_area_m2(points: Column) -> Column:
-    """Signed area of a ring of struct(lon, lat), counter-clockwise positive, on a plane at its mean latitude; 0 below three."""
+    """Signed area of a ring of struct(lon, lat), counter-clockwise positive, on a plane at its mean latitude; 0 below three.
+
+    Places are taken relative to the first, so that products stay small and the area exact to far below a square metre.
+    """
     n = F.size(points)
     lats = F.transform(points, lambda p: p["lat"])
     mean = F.aggregate(lats, F.lit(0.0), lambda s, v: s + v) / n
     k = F.cos(F.radians(mean))
-    xy = F.transform(points, lambda p: F.struct((F.radians(p["lon"]) * k * EARTH_M).alias("x"), (F.radians(p["lat"]) * EARTH_M).alias("y")))
+    o = F.get(points, F.lit(0))
+    xy = F.transform(points, lambda p: F.struct((F.radians(p["lon"] - o["lon"]) * k * EARTH_M).alias("x"), (F.radians(p["lat"] - o["lat"]) * EARTH_M).alias("y")))
     turned = F.concat(F.slice(xy, 2, n), F.slice(xy, 1, 1))
     parts = F.zip_with(xy, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.when(n < 3, F.lit(0.0)).otherwise(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / 2.0)

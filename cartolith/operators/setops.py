@@ -63,3 +63,13 @@ def within_ranges(ids: DataFrame, ranges: DataFrame, width: int = 1 << 16) -> Da
     i = ids.withColumn("part", _stretch(F.col("id"), width))
     on = (F.col("i.part") == F.col("r.part")) & (F.col("i.id") >= F.col("r.start")) & (F.col("i.id") < F.col("r.stop"))
     return i.alias("i").join(r.alias("r"), on, "left_semi").drop("part")
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with each row's place from 0 in the order of by, from counts of sorted partitions; by must tell all rows apart."""
+    d = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    d = d.withColumn("_part", F.shiftright("_at", 33))
+    counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as partitions
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return d.join(F.broadcast(before), "_part").select(*df.columns, (F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

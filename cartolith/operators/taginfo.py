@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.geom import Box
 from ..model import KINDS, Dataset
 from ..session import materialize
+from .setops import numbered
 
 
 def _counts() -> list:
@@ -21,8 +22,14 @@ def _counts() -> list:
 class Taginfo:
     """Lookups over a dataset's tags; every method returns a lazy DataFrame."""
 
-    def __init__(self, data: Dataset):
-        self.data, self.tags = data, data.tags
+    def __init__(self, data: Dataset, space=None):
+        self.data, self.tags, self._space = data, data.tags, space
+
+    def space(self):
+        """The spatial searches that lookups in a box use."""
+        from .spatial import Spatial
+
+        return self._space or Spatial(self.data)
 
     # lookups
 
@@ -56,6 +63,10 @@ class Taginfo:
         c = every.join(used, ["key", "value"], "left").na.fill(0, ["nodes", "ways", "relations"])
         return c.withColumn("total", F.col("nodes") + F.col("ways") + F.col("relations"))
 
+    def value_index(self) -> DataFrame:
+        """key, value, value_index: the place of every pair of the dictionary in order of key and value, from 0."""
+        return numbered(self.data.dictionary.select("key", "value").distinct(), ["key", "value"], "value_index")
+
     @cached_property
     def key_stats(self) -> DataFrame:
         """key, nodes, ways, relations, distinct_values, total of every key; summed over its values."""
@@ -84,15 +95,10 @@ class Taginfo:
         return self.postings(etype, key, value).join(ids.select("id"), "id", "left_semi")
 
     def postings_in_bbox(self, etype: str, key: str, box: Box, value: str | None = None) -> DataFrame:
-        from .spatial import Spatial
-
-        return self.postings_within(etype, key, Spatial(self.data).in_bbox(etype, box), value)
+        return self.postings_within(etype, key, self.space().in_bbox(etype, box), value)
 
     def _inside(self, box: Box) -> DataFrame:
-        from .spatial import Spatial
-
-        sp = Spatial(self.data)
-        ids = None
+        sp, ids = self.space(), None
         for k in KINDS:
             part = sp.in_bbox(k, box).select(F.lit(k).alias("etype"), "id")
             ids = part if ids is None else ids.unionByName(part)
@@ -141,12 +147,11 @@ class Taginfo:
         return d.select(F.explode(X.trigrams(F.col("value"))).alias("gram"), "key", "value")
 
     def trigram_search(self, pattern: str, index: DataFrame | None = None, key: str | None = None) -> DataFrame:
-        """As values_containing, with candidates from the index; patterns below three bytes are scanned for."""
+        """As values_containing, with candidates from the index; without one, and for patterns below three bytes, values are scanned."""
         grams = X.text_trigrams(pattern)
-        if not grams:
-            return self.values_containing(pattern, key)
-        i = self.value_trigrams() if index is None else index
-        i = i.where(F.col("gram").isin(grams))
+        if not grams or index is None:
+            return Taginfo.values_containing(self, pattern, key)
+        i = index.where(F.col("gram").isin(grams))
         i = i if key is None else i.where(F.col("key") == key)
         c = i.groupBy("key", "value").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
         return c.where(X.ascii_icontains(F.col("value"), pattern)).select("key", "value")

@@ -11,8 +11,9 @@ from ..operators import rings as R
 from ..operators import setops, verify
 from ..operators.backrefs import Backrefs
 from ..operators.spatial import Spatial
-from ..operators.taginfo import Taginfo
-from ..sources.store import fingerprint
+from ..operators.taginfo import Taginfo, shared_index
+from ..session import scratch
+from ..sources.store import Archive, BuildError, BuildOptions, build, fingerprint
 from .query import Query, Selection
 
 CENTER, RADIUS, NEAREST = (-36.32, 10.72), 0.05, 25
@@ -46,6 +47,7 @@ QUERIES = {
     "values_of_key": lambda s, d: _info(s, d).values(KEY),
     "key_stats": lambda s, d: _info(s, d).key_stats,
     "value_stats": lambda s, d: _info(s, d).value_stats,
+    "value_index": lambda s, d: _info(s, d).value_index(),
     "values_by_count": lambda s, d: _info(s, d).values_by_count(),
     "values_by_count_of_key": lambda s, d: _info(s, d).values_by_count(KEY, 10),
     "top_keys": lambda s, d: _info(s, d).top_keys(15),
@@ -67,7 +69,7 @@ QUERIES = {
     "substring_in_key": lambda s, d: _info(s, d).values_containing("HOF", "name"),
     "substring_non_ascii": lambda s, d: _info(s, d).values_containing("Ñe"),
     "value_trigrams": lambda s, d: _info(s, d).value_trigrams(),
-    "trigram_search": lambda s, d: _info(s, d).trigram_search(PATTERN),
+    "trigram_search": lambda s, d: trigram_search(s, d),
     "search_ranked": lambda s, d: _info(s, d).search_ranked(PATTERN, 20),
     # sets of ids
     "postings_intersect": lambda s, d: setops.intersect([_info(s, d).postings("way", KEY), _info(s, d).postings("way", KEY2)]),
@@ -86,11 +88,11 @@ QUERIES = {
     "ways_bbox": lambda s, d: _space(s, d).ways_in_bbox(_box),
     "rels_bbox": lambda s, d: _space(s, d).relations_in_bbox(_box),
     "nodes_radius": lambda s, d: _space(s, d).within_radius("node", *CENTER, RADIUS),
-    "ways_radius": lambda s, d: _space(s, d).within_radius("way", *CENTER, RADIUS).select("id"),
-    "rels_radius": lambda s, d: _space(s, d).within_radius("relation", *CENTER, RADIUS).select("id"),
+    "ways_radius": lambda s, d: ranked(_space(s, d).within_radius("way", *CENTER, RADIUS)),
+    "rels_radius": lambda s, d: ranked(_space(s, d).within_radius("relation", *CENTER, RADIUS)),
     "nodes_knn": lambda s, d: _space(s, d).nearest("node", *CENTER, NEAREST),
-    "ways_knn": lambda s, d: _space(s, d).nearest("way", *CENTER, NEAREST).select("id"),
-    "rels_knn": lambda s, d: _space(s, d).nearest("relation", *CENTER, NEAREST).select("id"),
+    "ways_knn": lambda s, d: ranked(_space(s, d).nearest("way", *CENTER, NEAREST)),
+    "rels_knn": lambda s, d: ranked(_space(s, d).nearest("relation", *CENTER, NEAREST)),
     "nodes_polygon": lambda s, d: _space(s, d).nodes_touching(G.Polygon(TRIANGLE)),
     "ways_polygon": lambda s, d: _space(s, d).ways_touching(G.Polygon(TRIANGLE)),
     "rels_polygon": lambda s, d: _space(s, d).relations_touching(G.Polygon(TRIANGLE)),
@@ -108,6 +110,12 @@ QUERIES = {
     "shore_ray_crossings": lambda s, d: R.ray_crossings(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)).groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n")),
     "ring_signed_area": lambda s, d: ring_areas(s, d),
     "mercator_to_wgs84": lambda s, d: mercator(s, d),
+    # the same over stored tables
+    "stored_query": lambda s, d: stored(s, d).query().with_tag(KEY, VALUE).with_key(KEY2).within_radius(*CENTER, RADIUS).ways(),
+    "stored_substring": lambda s, d: stored(s, d).taginfo.values_containing(PATTERN),
+    "stored_ways_radius": lambda s, d: ranked(stored(s, d).spatial.within_radius("way", *CENTER, RADIUS)),
+    "stored_rels_radius": lambda s, d: ranked(stored(s, d).spatial.within_radius("relation", *CENTER, RADIUS)),
+    "stored_ways_bbox": lambda s, d: stored(s, d).spatial.ways_in_bbox(_box),
     # lifecycle and checks
     "fingerprint": lambda s, d: fingerprint(Dataset(s, d)).drop("schema", "replication"),
     "verify_taginfo": lambda s, d: verify.taginfo_checks(_info(s, d)),
@@ -116,6 +124,32 @@ QUERIES = {
 }
 
 
+_built: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, d: str) -> Archive:
+    """The dataset with derived tables, built once a session into the shared folder."""
+    data, key = Dataset(spark, d), (spark.sparkContext.applicationId, d)
+    if key in _built:
+        try:
+            return Archive.open(data, _built[key], check=False)
+        except BuildError:  # released
+            pass
+    _built[key] = scratch(spark, "ext")
+    build(data, _built[key], BuildOptions(tags=True, key_postings=True, value_search=True, places=True))
+    return Archive.open(data, _built[key], check=False)
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """id and distance in units, rounded, as squares beyond 2**53 differ in their last digits."""
+    return found.select("id", F.round(F.sqrt("d2")).cast("bigint").alias("distance"))
+
+
+def trigram_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search by the index, written for it as for any number of searches."""
+    info = _info(spark, d)
+    return info.trigram_search(PATTERN, shared_index(info))
+
 
 def _degrees(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(spark, d).nodes.select("id", G.degrees(F.col("lon")).alias("lon"), G.degrees(F.col("lat")).alias("lat"))
@@ -135,7 +169,7 @@ def ring_areas(spark: SparkSession, d: str) -> DataFrame:
     v = current(table(spark, d, "ring_vertices"), ["rel_id", "ring_no", "vertex_no"], ["lon", "lat"]).where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
     g = v.groupBy("rel_id", "ring_no").agg(F.array_sort(F.collect_list(F.struct("vertex_no", "lon", "lat"))).alias("vs"))
     ps = F.transform("vs", lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))
-    return g.select("rel_id", "ring_no", F.size("vs").alias("vertices"), F.round(G.ring_area_m2(ps) / 1e6, 3).alias("area_km2"))
+    return g.select("rel_id", "ring_no", F.size("vs").alias("vertices"), F.round(G.ring_area_m2(ps), 1).alias("area_m2"))
 
 
 def mercator(spark: SparkSession, d: str) -> DataFrame:

@@ -123,6 +123,21 @@ def _ways(box, seg: str) -> str:
     return _with("seg", "wb") + f"SELECT DISTINCT way_id AS id FROM seg WHERE {seg} AND way_id IN (SELECT id FROM wb WHERE {_over_box(box)})"
 
 
+_DISTANCE = "round(sqrt(min(d)))::BIGINT AS distance"
+
+
+def _ways_by_distance() -> str:
+    return _with("seg", "wb") + f"""SELECT id, {_DISTANCE} FROM (SELECT way_id AS id, {_SEG_D2} AS d FROM seg WHERE {_SEG_IN} AND way_id IN (SELECT id FROM wb WHERE {_over_box(_AROUND)})) GROUP BY id"""
+
+
+def _rels_by_distance() -> str:
+    node, seg = f"{_d2('lon', 'lat')} <= {_R2}", _SEG_IN
+    return _with("n", "m", "seg", recursive=True, more=_PARTS) + f"""SELECT root AS id, {_DISTANCE} FROM (
+  SELECT root, {_d2('lon', 'lat')}::DOUBLE AS d FROM parts JOIN n ON parts.kind = 'node' AND parts.ref_id = n.id WHERE {node}
+  UNION ALL SELECT root, d FROM parts JOIN (SELECT way_id, min({_SEG_D2}) AS d FROM seg WHERE {seg} GROUP BY way_id) s ON parts.kind = 'way' AND parts.ref_id = s.way_id)
+  WHERE root IN (SELECT id FROM r WHERE {_over_box(_AROUND)}) GROUP BY root"""
+
+
 def _fold(c: str) -> str:
     return f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -143,7 +158,7 @@ def _parents(kind: str, tab: str) -> str:
 
 
 _TRI = _with("d", more=f"b AS (SELECT DISTINCT key, value, hex(encode({_fold('value')})) AS h FROM d)") + """
-SELECT DISTINCT ('0x' || substr(h, 2 * i::BIGINT + 1, 6))::INTEGER AS gram, key, value FROM b, range(0, 400) x(i) WHERE i + 3 <= length(h) / 2"""
+SELECT DISTINCT ('0x' || substr(h, 2 * i + 1, 6))::INTEGER AS gram, key, value FROM (SELECT key, value, h, unnest(range(0, length(h) // 2 - 2)) AS i FROM b)"""
 _SHORE = f"""sh AS (SELECT way_id, ax / {SCALE}.0::DOUBLE AS ax, ay / {SCALE}.0::DOUBLE AS ay, bx / {SCALE}.0::DOUBLE AS bx, by_ / {SCALE}.0::DOUBLE AS by_ FROM seg
   WHERE way_id IN (SELECT id FROM t WHERE etype = 'way' AND key = '{SHORE[0]}' AND value = '{SHORE[1]}')),
 cr AS (SELECT p.id, CASE WHEN s.ay < s.by_ THEN 1 ELSE -1 END AS direction FROM (SELECT id, lon / {SCALE}.0::DOUBLE AS lon, lat / {SCALE}.0::DOUBLE AS lat FROM n) p JOIN sh s
@@ -158,6 +173,7 @@ SQL = {
     "values_of_key": _with("d") + f"SELECT DISTINCT value FROM d WHERE key = '{KEY}'",
     "key_stats": _with("vs") + "SELECT key, sum(nodes)::BIGINT AS nodes, sum(ways)::BIGINT AS ways, sum(relations)::BIGINT AS relations, count(*) AS distinct_values, sum(total)::BIGINT AS total FROM vs GROUP BY key",
     "value_stats": _with("vs") + "SELECT key, value, nodes, ways, relations, total FROM vs",
+    "value_index": _with("d") + "SELECT key, value, row_number() OVER (ORDER BY key, value) - 1 AS value_index FROM (SELECT DISTINCT key, value FROM d)",
     "values_by_count": _with("vs") + "SELECT key, value, total, row_number() OVER (PARTITION BY key ORDER BY total DESC, value) AS rank FROM vs",
     "values_by_count_of_key": _with("vs") + f"SELECT key, value, total, row_number() OVER (PARTITION BY key ORDER BY total DESC, value) AS rank FROM vs WHERE key = '{KEY}' QUALIFY rank <= 10",
     "top_keys": _with("vs") + "SELECT key, sum(nodes)::BIGINT AS nodes, sum(ways)::BIGINT AS ways, sum(relations)::BIGINT AS relations, count(*) AS distinct_values, sum(total)::BIGINT AS total FROM vs GROUP BY key ORDER BY total DESC, key LIMIT 15",
@@ -204,11 +220,11 @@ LEFT JOIN t ON t.etype = p.what AND t.id = p.id WHERE k <= 3 GROUP BY what, p.id
     "ways_bbox": _with("wb") + f"SELECT id FROM wb WHERE {_over_box(BOX)}",
     "rels_bbox": _with("r") + f"SELECT id FROM r WHERE {_over_box(BOX)}",
     "nodes_radius": _with("n") + f"SELECT id, {_d2('lon', 'lat')}::DOUBLE AS d2 FROM n WHERE {_in_box(_AROUND)} AND {_d2('lon', 'lat')} <= {_R2}",
-    "ways_radius": _ways(_AROUND, _SEG_IN),
-    "rels_radius": _rels(_AROUND, f"{_d2('lon', 'lat')} <= {_R2}", _SEG_IN),
+    "ways_radius": _ways_by_distance(),
+    "rels_radius": _rels_by_distance(),
     "nodes_knn": _with("n") + f"SELECT id, {_d2('lon', 'lat')}::DOUBLE AS d2 FROM n ORDER BY {_d2('lon', 'lat')}, id LIMIT {NEAREST}",
-    "ways_knn": _with("seg") + f"SELECT way_id AS id FROM seg GROUP BY way_id ORDER BY min({_SEG_D2}), way_id LIMIT {NEAREST}",
-    "rels_knn": _with("n", "m", "seg", recursive=True, more=_PARTS) + f"""SELECT root AS id FROM (
+    "ways_knn": _with("seg") + f"SELECT way_id AS id, {_DISTANCE} FROM (SELECT way_id, {_SEG_D2} AS d FROM seg) GROUP BY way_id ORDER BY min(d), way_id LIMIT {NEAREST}",
+    "rels_knn": _with("n", "m", "seg", recursive=True, more=_PARTS) + f"""SELECT root AS id, {_DISTANCE} FROM (
   SELECT root, {_d2('lon', 'lat')}::DOUBLE AS d FROM parts JOIN n ON parts.kind = 'node' AND parts.ref_id = n.id
   UNION ALL SELECT root, d FROM parts JOIN (SELECT way_id, min({_SEG_D2}) AS d FROM seg GROUP BY way_id) s ON parts.kind = 'way' AND parts.ref_id = s.way_id)
   WHERE root IN (SELECT id FROM r WHERE min_lon IS NOT NULL) GROUP BY root ORDER BY min(d), root LIMIT {NEAREST}""",
@@ -224,9 +240,10 @@ LEFT JOIN t ON t.etype = p.what AND t.id = p.id WHERE k <= 3 GROUP BY what, p.id
     "shore_ray_crossings": _with("n", "seg", "t", more=_SHORE) + "SELECT id, direction, count(*) AS n FROM cr GROUP BY ALL",
     "ring_signed_area": f"""WITH v AS (SELECT rel_id, ring_no, vertex_no, lon, lat FROM {current('ring_vertices', 'rel_id, ring_no, vertex_no', 'rel_id IS NOT NULL AND ring_no IS NOT NULL AND vertex_no IS NOT NULL')}
   WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)),
-a AS (SELECT *, avg(lat) OVER (PARTITION BY rel_id, ring_no) AS mid, count(*) OVER (PARTITION BY rel_id, ring_no) AS c FROM v),
-x AS (SELECT rel_id, ring_no, c, row_number() OVER q AS k, radians(lon) * cos(radians(mid)) * 6378137.0::DOUBLE AS x, radians(lat) * 6378137.0::DOUBLE AS y FROM a WINDOW q AS (PARTITION BY rel_id, ring_no ORDER BY vertex_no))
-SELECT p.rel_id, p.ring_no, p.c::INTEGER AS vertices, round(CASE WHEN p.c < 3 THEN 0.0::DOUBLE ELSE sum(p.x * q.y - q.x * p.y) / 2 END / 1e6, 3) + 0.0::DOUBLE AS area_km2
+a AS (SELECT *, avg(lat) OVER (PARTITION BY rel_id, ring_no) AS mid, count(*) OVER (PARTITION BY rel_id, ring_no) AS c,
+  first_value(lon) OVER q AS lon0, first_value(lat) OVER q AS lat0 FROM v WINDOW q AS (PARTITION BY rel_id, ring_no ORDER BY vertex_no)),
+x AS (SELECT rel_id, ring_no, c, row_number() OVER q AS k, radians(lon - lon0) * cos(radians(mid)) * 6378137.0::DOUBLE AS x, radians(lat - lat0) * 6378137.0::DOUBLE AS y FROM a WINDOW q AS (PARTITION BY rel_id, ring_no ORDER BY vertex_no))
+SELECT p.rel_id, p.ring_no, p.c::INTEGER AS vertices, round(CASE WHEN p.c < 3 THEN 0.0::DOUBLE ELSE sum(p.x * q.y - q.x * p.y) / 2 END, 1) + 0.0::DOUBLE AS area_m2
 FROM x p JOIN x q ON p.rel_id = q.rel_id AND p.ring_no = q.ring_no AND q.k = p.k % p.c + 1 GROUP BY p.rel_id, p.ring_no, p.c""",
     "mercator_to_wgs84": _with("n") + "SELECT id, round(degrees(lon / 100.0::DOUBLE / 6378137.0::DOUBLE), 6) AS lon, round(degrees(2 * atan(exp(lat / 100.0::DOUBLE / 6378137.0::DOUBLE)) - pi() / 2), 6) AS lat FROM n",
     "fingerprint": _with("n", "w", "r", "d") + """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM w) AS ways, (SELECT count(*) FROM r) AS relations,
@@ -235,3 +252,6 @@ FROM x p JOIN x q ON p.rel_id = q.rel_id AND p.ring_no = q.ring_no AND q.k = p.k
     "verify_search": "SELECT unnest(['grams occur', 'values indexed']) AS \"check\", 0::BIGINT AS bad",
     "verify_backrefs": "SELECT unnest(['pairs from references', 'references have pairs', 'pairs distinct']) AS \"check\", 0::BIGINT AS bad",
 }
+SQL |= {
+    "stored_query": SQL["query_tag_key_radius"], "stored_substring": SQL["substring_all"], "stored_ways_radius": SQL["ways_radius"],
+    "stored_rels_radius": SQL["rels_radius"], "stored_ways_bbox": SQL["ways_bbox"]}

@@ -31,13 +31,18 @@ class NoTags(QueryError):
 
 @dataclass(frozen=True)
 class Query:
-    """Immutable builder; each step gives a new query, which can be run for every element type."""
+    """Immutable builder; each step gives a new query, which can be run for every element type.
+
+    info and space answer its parts; without them it looks at the dataset's tables.
+    """
 
     data: Dataset
     tags: tuple = ()
     keys: tuple = ()
     places: tuple = ()
     has_tags: bool = True
+    info: Taginfo | None = None
+    space: Spatial | None = None
 
     def with_tag(self, key: str, value: str) -> Query:
         return replace(self, tags=(*self.tags, (key, value)))
@@ -76,7 +81,7 @@ class Query:
                 raise InvalidSpatial(f"bad {type(p).__name__.lower()}")
         if (self.tags or self.keys) and not self.has_tags:
             raise NoTags("the dataset was opened without tags")
-        info, sp = Taginfo(self.data), Spatial(self.data)
+        info, sp = self.info or Taginfo(self.data), self.space or Spatial(self.data)
         sets = [info.postings(etype, k, v) for k, v in self.tags] + [info.postings(etype, k) for k in self.keys]
         sets += [sp.in_bbox(etype, p) if isinstance(p, Box) else sp.touching(etype, p) for p in self.places]
         return intersect(sets)

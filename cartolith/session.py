@@ -61,6 +61,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_scratch[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which release() deletes."""
+    path = f"{shared_dir(spark)}/cartolith/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -68,9 +75,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     result be used several times. release() deletes what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cartolith/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cartolith_path = path
     return out
