@@ -1,11 +1,13 @@
 """References to records that are missing, deleted or arrived later.
 
-State is kept by key: targets (kind, id) with what is known of the parent, and
-references (tab, owner_id, ring_no, pos) with their target. Both are reduced by
-associative functions, so a batch is merged into the state by aggregating old
-and new rows together. Only references that a batch touches are probed again:
-new ones against the parent index, waiting ones whose parent arrived, resolved
-ones whose parent was deleted.
+State is kept by key: targets (kind, id) with what is known of the parent,
+references (tab, owner_id, ring_no, pos) with their target, and the findings
+about these. Each is a base table and a few deltas; a batch writes only the rows
+of keys it touches and looks the others up by key, without moving them. Targets
+and references are reduced by associative functions, so the rows of a key in all
+deltas are merged by aggregating them. Probed again are new references against
+the parent index, waiting ones whose parent arrived, and resolved ones whose
+parent was deleted. Every few batches the deltas are merged into a new base.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import BROADCAST_LIMIT, materialize, saved
 from ..sources.tables import member_kind, micros, table
 
 #: Number of each target table.
@@ -76,51 +78,75 @@ def merge_references(versions: DataFrame) -> DataFrame:
 
 
 def probe(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """The orphans among current references, with reason: 0 missing, 1 deleted, 2 late."""
-    r = refs.where("ref is not null and kind is not null")
+    """Each current reference with reason: 0 missing, 1 deleted, 2 late, null no orphan."""
     t = targets.select(F.col("kind").alias("t_kind"), F.col("id").alias("t_id"), "visible", "arrived")
-    j = r.join(t, (F.col("kind") == F.col("t_kind")) & (F.col("ref") == F.col("t_id")), "left")
-    reason = F.when(F.col("t_id").isNull(), 0).when(~F.col("visible"), 1).when(F.col("arrived") > F.col("loaded"), 2)
-    j = j.withColumn("reason", reason.cast("tinyint")).where("reason is not null")
-    return j.select(*_REF, "kind", "ref", "edited", "reason")
+    j = refs.join(t, (F.col("kind") == F.col("t_kind")) & (F.col("ref") == F.col("t_id")), "left")
+    reason = F.when(F.col("ref").isNull() | F.col("kind").isNull(), None).when(F.col("t_id").isNull(), 0).when(~F.col("visible"), 1).when(F.col("arrived") > F.col("loaded"), 2)
+    return j.select(*_REF, "edited", reason.cast("tinyint").alias("reason"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def lazy(df: DataFrame, _: str) -> DataFrame:
-    return df
+def _in(rows: DataFrame, keys: DataFrame, n: int, on: list[str]) -> DataFrame:
+    """Rows whose key is one of n keys; few keys go to the rows, so that those stay where they are."""
+    return rows.join(F.broadcast(keys) if n * 64 <= BROADCAST_LIMIT else keys, on, "left_semi")
+
+
+#: Deltas a state may have before they are merged into a new base.
+MOST_DELTAS = 8
 
 
 @dataclass
 class OrphanState:
-    """Targets, references and pending orphans after some batches; each part is a written table."""
+    """Targets, references and findings after some batches, each as written tables: a base and deltas, oldest first.
+
+    save writes a table under a name and gives it back.
+    """
 
-    targets: DataFrame
-    refs: DataFrame
-    pending: DataFrame
+    targets: list[DataFrame]
+    refs: list[DataFrame]
+    found: list[DataFrame]
 
     @classmethod
     def start(cls, targets: DataFrame, refs: DataFrame, save=materialize) -> OrphanState:
-        """State after a first batch of versions. save=lazy leaves it unwritten, where no batch follows."""
+        """State after a first batch of versions."""
         t, r = save(merge_targets(targets), "targets"), save(merge_references(refs), "refs")
-        return cls(t, r, save(probe(r, t), "pending"))
+        return cls([t], [r], [save(probe(r, t).where("reason is not null").withColumn("batch", F.lit(0)), "found")])
 
     def apply(self, targets: DataFrame, refs: DataFrame, save=materialize) -> OrphanState:
         """State after one more batch of versions, in any order of edits and arrivals.
 
-        An empty batch changes nothing, a repeated one neither. save writes a
-        table under a name and gives it back.
+        What is written is in proportion to the batch and to the references of
+        the targets in it. An empty batch changes nothing, a repeated one neither.
         """
-        t = save(merge_targets(self.targets.unionByName(targets.select(*_TARGET, "visible", "edited", "arrived"))), "targets")
-        r = save(merge_references(self.refs.unionByName(refs.select(*self.refs.columns))), "refs")
-        moved = targets.select("kind", F.col("id").alias("ref")).distinct()
-        touched = r.join(refs.select(*_REF).distinct(), _REF, "left_semi").select(*r.columns)
-        woken = r.join(moved, ["kind", "ref"], "left_semi").select(*r.columns)
-        again = save(touched.unionByName(woken).dropDuplicates(_REF), "touched")
-        left = self.pending.join(again.select(*_REF), _REF, "left_anti")
-        return OrphanState(t, r, save(left.unionByName(probe(again, t)), "pending"))
+        new_t, nt = saved(merge_targets(targets.select(*_TARGET, "visible", "edited", "arrived")), "batch-targets")
+        new_r, nr = saved(merge_references(refs.select(*self.refs[0].columns)), "batch-refs")
+        nt, nr = nt["n"], nr["n"]
+        t = [*self.targets, save(merge_targets(new_t.unionByName(_in(_union(self.targets), new_t.select(*_TARGET), nt, _TARGET))), "targets")]
+        r = [*self.refs, save(merge_references(new_r.unionByName(_in(_union(self.refs), new_r.select(*_REF), nr, _REF))), "refs")]
+        # references that point to a target of the batch, now or in a version before
+        moved = new_t.select("kind", F.col("id").alias("ref"))
+        keys, n = saved(_in(_union(r).select(*_REF, "kind", "ref"), moved, nt, ["kind", "ref"]).select(*_REF).unionByName(new_r.select(*_REF)).distinct(), "touched")
+        again, n = saved(merge_references(_in(_union(r), keys, n["n"], _REF)), "again")
+        asked, m = saved(again.where("ref is not null and kind is not null").select("kind", F.col("ref").alias("id")).distinct(), "asked")
+        about = probe(again, merge_targets(_in(_union(t), asked, m["n"], _TARGET)))
+        state = OrphanState(t, r, [*self.found, save(about.withColumn("batch", F.lit(len(self.found))), "found")])
+        return state if len(t) <= MOST_DELTAS else state.merged(save)
+
+    def merged(self, save=materialize) -> OrphanState:
+        """The same state as a base without deltas."""
+        t, r = save(merge_targets(_union(self.targets)), "targets-base"), save(merge_references(_union(self.refs)), "refs-base")
+        return OrphanState([t], [r], [save(self.pending.withColumn("batch", F.lit(0)), "found-base")])
+
+    @property
+    def pending(self) -> DataFrame:
+        """The orphans: the last finding about each reference, where it has a reason."""
+        if len(self.found) == 1:
+            return self.found[0].where("reason is not null").drop("batch")
+        last = _union(self.found).groupBy(*_REF).agg(F.max_by(F.struct("edited", "reason"), "batch").alias("f"))
+        return last.select(*_REF, "f.edited", "f.reason").where("reason is not null")
 
     def snapshot(self) -> DataFrame:
         """Pending orphans by table, month of the reference's edit, and reason: tab, period, reason, n."""
@@ -150,11 +176,9 @@ def orphans(spark: SparkSession, root: str, epochs: int = 2) -> DataFrame:
     the first and the last arrival; rows without one come first.
     """
     t, r = all_versions(spark, root)
-    if epochs <= 1:
-        return named(OrphanState.start(t, r, lazy).pending)
-    lo, hi = t.agg(F.min("arrived"), F.max("arrived")).first()
+    lo, hi = t.agg(F.min("arrived"), F.max("arrived")).first() if epochs > 1 else (None, None)
     if lo is None:
-        return named(OrphanState.start(t, r, lazy).pending)
+        return named(probe(merge_references(r), merge_targets(t)).where("reason is not null"))
     cuts = [lo + (hi - lo) * k // epochs for k in range(1, epochs)]
     nth = lambda c: sum(((F.coalesce(F.col(c), F.lit(_NEVER)) > x).cast("int") for x in cuts), F.lit(0))
     state = OrphanState.start(t.where(nth("arrived") == 0), r.where(nth("loaded") == 0))

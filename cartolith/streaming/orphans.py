@@ -22,12 +22,13 @@ def events(targets: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 class OrphanMonitor:
-    """Folds micro-batches into an OrphanState stored under root, a folder for each batch.
+    """Folds micro-batches into an OrphanState stored under root, a folder of deltas for each batch.
 
     A batch is derived from the last finished one before it, and marked when all
-    its tables are written: a batch that is run again after a failure gives the
-    same tables. Snapshots of the counts are kept for every batch, the state of
-    the last two.
+    its tables are written, with the list of tables its state consists of: a
+    batch that is run again after a failure gives the same. Snapshots of the
+    counts are kept for every batch, tables as long as one of the last two
+    states consists of them.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -39,30 +40,43 @@ class OrphanMonitor:
         at = self._hadoop(f"{self.root}/done")
         return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def _tables(self, batch: int) -> dict[str, list[str]]:
+        """Paths below root of the tables that make up the state after a batch."""
+        rows = self.spark.read.parquet(f"{self.root}/done/{batch}").orderBy("no").collect()
+        return {k: [r["path"] for r in rows if r["part"] == k] for k in ("targets", "refs", "found")}
+
     def state(self, batch: int | None = None) -> OrphanState | None:
         """State after a batch, or after the last finished one; None before the first."""
         done = self._finished()
         if not done:
             return None
-        at = f"{self.root}/state/{done[-1] if batch is None else batch}"
-        return OrphanState(*(self.spark.read.parquet(f"{at}/{t}") for t in ("targets", "refs", "pending")))
+        parts = self._tables(done[-1] if batch is None else batch)
+        return OrphanState(*([self.spark.read.parquet(f"{self.root}/{p}") for p in parts[k]] for k in ("targets", "refs", "found")))
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
-        at = f"{self.root}/state/{number}"
+        at, written = f"state/{number}", {}
 
         def save(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{at}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{at}/{name}")
+            df.write.mode("overwrite").parquet(f"{self.root}/{at}/{name}")
+            written.setdefault(name, f"{at}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}/{name}")
 
         before = [n for n in self._finished() if n < number]
         batch = save(batch, "events")
         t = batch.where("what = 'target'").select("kind", "id", "edited", "visible", "arrived")
         r = batch.where("what = 'ref'").select("tab", "owner_id", "ring_no", "pos", "kind", "ref", "edited", "loaded")
+        old = self._tables(before[-1]) if before else {"targets": [], "refs": [], "found": []}
         new = self.state(before[-1]).apply(t, r, save) if before else OrphanState.start(t, r, save)
+        tables = {k: [written[f"{k}-base"]] if f"{k}-base" in written else [*old[k], written[k]] for k in old}
         new.snapshot().withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.root}/snapshots/{number}")
-        self._fs.create(self._hadoop(f"{self.root}/done/{number}"), True).close()
-        for old in before[:-1]:
-            self._fs.delete(self._hadoop(f"{self.root}/state/{old}"), True)
+        rows = [(k, no, p) for k, ps in tables.items() for no, p in enumerate(ps)]
+        self.spark.createDataFrame(rows, "part string, no int, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/done/{number}")
+        if len(before) > 1:
+            used = {p for ps in [*tables.values(), *old.values()] for p in ps}
+            for n in before[:-1]:
+                for f in self._fs.globStatus(self._hadoop(f"{self.root}/state/{n}/*")):
+                    if f"state/{n}/{f.getPath().getName()}" not in used:
+                        self._fs.delete(f.getPath(), True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

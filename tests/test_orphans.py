@@ -1,7 +1,9 @@
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartolith.operators import orphans as O
 
@@ -78,5 +80,39 @@ def test_repeated_and_empty_batches(spark, messy):
     assert sum(x["n"] for x in s.snapshot().collect()) == len(a)
 
 
+def size(df):
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+
+
+def test_a_batch_writes_in_proportion(spark):
+    t = spark.range(200_000).select(F.lit(0).cast("tinyint").alias("kind"), "id", F.lit(5).cast("bigint").alias("edited"), (F.col("id") % 7 != 0).alias("visible"), F.lit(6).cast("bigint").alias("arrived"))
+    r = spark.range(400_000).select(F.lit(0).cast("tinyint").alias("tab"), F.col("id").alias("owner_id"), F.lit(0).cast("bigint").alias("ring_no"), F.lit(0).cast("bigint").alias("pos"),
+                                   F.lit(0).cast("tinyint").alias("kind"), (F.col("id") * 7919 % 250_000).alias("ref"), F.lit(9).cast("bigint").alias("edited"), F.lit(10).cast("bigint").alias("loaded"))
+    s = O.OrphanState.start(t, r)
+    some = t.where("id % 100 = 3").withColumn("edited", F.lit(50).cast("bigint")).withColumn("visible", F.col("id") % 200 == 3)
+    late = some.unionByName(spark.range(249_000, 249_400).select(F.lit(0).cast("tinyint").alias("kind"), "id", F.lit(1).cast("bigint").alias("edited"), F.lit(True).alias("visible"), F.lit(70).cast("bigint").alias("arrived")))
+    new = r.where("owner_id % 100 = 50").withColumn("edited", F.lit(60).cast("bigint")).withColumn("ref", F.lit(1).cast("bigint"))
+    after = s.apply(late, new)
+    for part in ("targets", "refs"):
+        base, delta = getattr(after, part)
+        assert size(delta) < size(base) / 25, part
+    touched = r.join(late.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").count() + new.count()
+    assert after.found[1].count() <= touched < 10_000
+    whole = O.OrphanState.start(t.unionByName(late), r.unionByName(new))
+    same = lambda a, b: a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    assert same(after.pending, whole.pending) and same(after.merged().pending, whole.pending) and after.pending.count() > 1000
+
+
+def test_deltas_are_merged(spark, messy, monkeypatch):
+    monkeypatch.setattr(O, "MOST_DELTAS", 2)
+    t, r = O.all_versions(spark, messy)
+    nth = lambda df, c, k: df.where(f"pmod(hash({c}, edited), 6) = {k}")
+    s = O.OrphanState.start(nth(t, "id", 0), nth(r, "owner_id", 0))
+    for k in range(1, 6):
+        s = s.apply(nth(t, "id", k), nth(r, "owner_id", k))
+        assert len(s.targets) <= 2
+    assert sorted(map(tuple, O.named(s.pending).collect()), key=repr) == brute(spark, messy)
+
+
 def test_empty(spark, make_dataset):
     assert O.orphans(spark, make_dataset()).count() == 0
