@@ -120,6 +120,7 @@ QUERIES = {
     "fingerprint": lambda s, d: fingerprint(Dataset(s, d)).drop("schema", "replication"),
     "verify_taginfo": lambda s, d: verify.taginfo_checks(_info(s, d)),
     "verify_search": lambda s, d: verify.search_checks(_info(s, d)),
+    "verify_rings": lambda s, d: verify.ring_checks(Dataset(s, d), R.multipolygons(Dataset(s, d))),
     "verify_backrefs": lambda s, d: verify.backref_checks(Dataset(s, d), _back(s, d)),
 }
 

@@ -165,6 +165,13 @@ cr AS (SELECT p.id, CASE WHEN s.ay < s.by_ THEN 1 ELSE -1 END AS direction FROM
   ON p.lat >= least(s.ay, s.by_) AND p.lat < greatest(s.ay, s.by_)
   WHERE s.ay <> s.by_ AND (CASE WHEN s.ay < s.by_ THEN s.ax + (p.lat - s.ay) / (s.by_ - s.ay) * (s.bx - s.ax) ELSE s.bx + (p.lat - s.by_) / (s.ay - s.by_) * (s.ax - s.bx) END) > p.lon)"""
 
+
+
+def _none_bad(*checks: str) -> str:
+    """Checks of right tables find nothing; tests/test_verify.py plants a violation for each."""
+    return f"SELECT unnest({list(checks)}) AS \"check\", 0::BIGINT AS bad"
+
+
 SQL = {
     "keys": _with("d") + "SELECT DISTINCT key FROM d",
     "key_lookup": _with("d") + f"SELECT DISTINCT key FROM d WHERE key = '{KEY}'",
@@ -248,9 +255,10 @@ FROM x p JOIN x q ON p.rel_id = q.rel_id AND p.ring_no = q.ring_no AND q.k = p.k
     "mercator_to_wgs84": _with("n") + "SELECT id, round(degrees(lon / 100.0::DOUBLE / 6378137.0::DOUBLE), 6) AS lon, round(degrees(2 * atan(exp(lat / 100.0::DOUBLE / 6378137.0::DOUBLE)) - pi() / 2), 6) AS lat FROM n",
     "fingerprint": _with("n", "w", "r", "d") + """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM w) AS ways, (SELECT count(*) FROM r) AS relations,
   (SELECT count(*) FROM (SELECT DISTINCT key, value FROM d)) AS tags, (SELECT sum(strlen(s))::BIGINT FROM (SELECT key AS s FROM d UNION SELECT value FROM d)) AS strings""",
-    "verify_taginfo": "SELECT unnest(['totals equal tag rows', 'keys sum their values', 'ranks ordered', 'combinations symmetric', 'combinations fit']) AS \"check\", 0::BIGINT AS bad",
-    "verify_search": "SELECT unnest(['grams occur', 'values indexed']) AS \"check\", 0::BIGINT AS bad",
-    "verify_backrefs": "SELECT unnest(['pairs from references', 'references have pairs', 'pairs distinct']) AS \"check\", 0::BIGINT AS bad",
+    "verify_taginfo": _none_bad("totals equal tag rows", "keys sum their values", "ranks ordered", "combinations symmetric", "combinations fit", "tag combinations symmetric", "tag combinations fit"),
+    "verify_search": _none_bad("grams occur", "values indexed"),
+    "verify_rings": _none_bad("vertices numbered", "rings closed", "rings enclose something", "vertices at their nodes", "polygons begin with their outer ring"),
+    "verify_backrefs": _none_bad(*(f"{kind}{check}" for kind in ("", "node members: ", "way members: ", "relation members: ") for check in ("pairs from references", "references have pairs", "pairs distinct"))),
 }
 SQL |= {
     "stored_query": SQL["query_tag_key_radius"], "stored_substring": SQL["substring_all"], "stored_ways_radius": SQL["ways_radius"],
