@@ -169,17 +169,23 @@ def all_versions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             _union([reference_versions(table(spark, root, t), t) for t in TAB_OF]))
 
 
+#: Share of the time between first and last arrival that the first batch of a dataset takes in.
+FIRST_SHARE = 0.9
+
+
 def orphans(spark: SparkSession, root: str, epochs: int = 2) -> DataFrame:
     """Orphans of a dataset, by taking its rows in as many batches of arrival time.
 
-    With one epoch all rows are one batch. Epochs split at equal steps between
-    the first and the last arrival; rows without one come first.
+    With one epoch all rows are one batch. Otherwise the first takes what arrived
+    in FIRST_SHARE of the time, as a first load does, the others equal steps of
+    the rest; rows without an arrival come first.
     """
     t, r = all_versions(spark, root)
     lo, hi = t.agg(F.min("arrived"), F.max("arrived")).first() if epochs > 1 else (None, None)
     if lo is None:
         return named(probe(merge_references(r), merge_targets(t)).where("reason is not null"))
-    cuts = [lo + (hi - lo) * k // epochs for k in range(1, epochs)]
+    first = int((hi - lo) * FIRST_SHARE)
+    cuts = [lo + first + (hi - lo - first) * k // (epochs - 1) for k in range(epochs - 1)]
     nth = lambda c: sum(((F.coalesce(F.col(c), F.lit(_NEVER)) > x).cast("int") for x in cuts), F.lit(0))
     state = OrphanState.start(t.where(nth("arrived") == 0), r.where(nth("loaded") == 0))
     for k in range(1, epochs):
