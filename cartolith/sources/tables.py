@@ -6,9 +6,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WHEN = ", edited_at timestamp_ntz, loaded_at timestamp_ntz"
+#: Columns and types of the tables of a dataset.
+SCHEMAS = {
+    "nodes": "id bigint, lon double, lat double, visible boolean" + _WHEN,
+    "ways": "id bigint, visible boolean" + _WHEN,
+    "way_refs": "way_id bigint, pos int, node_id bigint" + _WHEN,
+    "relations": "id bigint, min_lon double, min_lat double, max_lon double, max_lat double, visible boolean" + _WHEN,
+    "members": "rel_id bigint, pos int, mtype string, ref_id bigint, role string" + _WHEN,
+    "ring_vertices": "rel_id bigint, ring_no int, vertex_no int, node_idx bigint, lon double, lat double" + _WHEN,
+    "tags": "etype string, id bigint, key string, value string, key_idx bigint, slot bigint" + _WHEN,
+    "tag_slots": "slot bigint, key_idx bigint, key string, value string",
+    "probe_points": "point_id bigint, lon double, lat double, radius_deg double",
+    "zones": "zone_id bigint, ring_no int, vertex_no int, lon double, lat double",
+}
+
+
+_ALIKE = [{"bigint", "int", "smallint", "tinyint"}, {"double", "float"}, {"timestamp_ntz", "timestamp"}, {"string"}, {"boolean"}]
+
+
+class SchemaError(Exception):
+    """A table that lacks a column or has another type in it."""
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One table of a dataset folder."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """One table of a dataset folder, checked against SCHEMAS.
+
+    A table may have more columns, numbers of another width, and times with or
+    without a zone; anything else that differs is refused at once, by name,
+    instead of deep in a query.
+    """
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    found = dict(df.dtypes)
+    for column in SCHEMAS.get(name, "").split(", "):
+        if column:
+            want, kind = column.split()
+            got = found.get(want)
+            if not any({kind, got} <= alike for alike in _ALIKE):
+                raise SchemaError(f"{name}.{want} should be {kind}, is {got or 'absent'}")
+    return df
 
 
 def micros(df: DataFrame, name: str) -> Column:

@@ -6,6 +6,7 @@ from cartolith.model import Dataset
 from cartolith.operators.spatial import Spatial
 from cartolith.operators.taginfo import Taginfo
 from cartolith.plans import catalog
+from cartolith.sources.tables import SchemaError
 from cartolith.sources.store import Archive, BuildError, BuildOptions, Mismatch, build, fingerprint, verify
 
 
@@ -98,6 +99,28 @@ def test_stale(built, what):
     assert e.value.what == what
 
 
+def test_wrong_tables_are_named(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "id bigint, lon string").write.parquet(f"{tmp_path}/nodes.parquet")
+    with pytest.raises(SchemaError, match="nodes.lon should be double, is string"):
+        Dataset(spark, str(tmp_path)).nodes  # noqa: B018
+    spark.createDataFrame([(1, 2.0)], "id bigint, way_id double").write.parquet(f"{tmp_path}/ways.parquet")
+    with pytest.raises(SchemaError, match="ways.visible"):
+        Dataset(spark, str(tmp_path)).ways  # noqa: B018
+
+
+def test_polygons_of_a_relation(built):
+    a = Archive.open(*built)
+    assert a.polygons(30) == []
+    a._tables["multipolygons"] = a.spark.createDataFrame(
+        [(5, p, r, v, v, float(p), float(v)) for p, r, n in ((0, 0, 4), (0, 1, 3), (1, 0, 3)) for v in reversed(range(n))], "rel_id bigint, polygon_no int, ring_no int, vertex_no int, node_id bigint, lon double, lat double")
+    assert [[len(r) for r in p] for p in a.polygons(5)] == [[4, 3], [3]] and a.polygons(5)[1][0] == [(1.0, 0.0), (1.0, 1.0), (1.0, 2.0)] and a.polygons(6) == []
+
+
+def test_classify_command(built, capsys):
+    assert cli.main([built[0].root, "--classify", "11.4", "47.27", "--classify", "0", "0"]) == 0
+    assert capsys.readouterr().out.splitlines()[-2:] == ["11.4 47.27 water", "0.0 0.0 water"]
+
+
 def test_nothing_to_build(built, tmp_path):
     ds, _ = built
     with pytest.raises(BuildError):
