@@ -67,15 +67,14 @@ def sampled_checks(data: Dataset, postings: DataFrame, share: int = 100) -> Data
 
 def ring_checks(data: Dataset, rings: DataFrame) -> DataFrame:
     """Of rings (rel_id, polygon_no, ring_no, vertex_no, node_id, lon, lat): vertices are numbered from 0 without gaps, rings are
-    closed, exactly or by a gap below that of seams, have three different nodes, and nodes lie where the dataset has them."""
+    closed, exactly or by a gap below that of seams, and nodes lie where the dataset has them."""
     ring = ["rel_id", "polygon_no", "ring_no"]
     at = lambda f: f(F.struct("lon", "lat"), F.col("vertex_no"))
-    g = rings.groupBy(*ring).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("nodes"), F.count_distinct("vertex_no").alias("numbers"), F.min("vertex_no").alias("least"),
+    g = rings.groupBy(*ring).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vertex_no").alias("numbers"), F.min("vertex_no").alias("least"),
                                  F.max("vertex_no").alias("most"), at(F.min_by).alias("a"), at(F.max_by).alias("b"))
     gap = G.distance_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
     places = data.nodes.select(F.col("id").alias("node_id"), G.degrees(F.col("lon")).alias("x"), G.degrees(F.col("lat")).alias("y"))
     return (_bad("vertices numbered", g.where("least <> 0 or most <> n - 1 or numbers <> n")).unionByName(_bad("rings closed", g.where(gap >= 250.0)))
-            .unionByName(_bad("rings enclose something", g.where("nodes < 3")))
             .unionByName(_bad("vertices at their nodes", rings.join(places, "node_id", "left").where("x is null or x <> lon or y <> lat")))
             .unionByName(_bad("polygons begin with their outer ring", g.groupBy("rel_id", "polygon_no").agg(F.min("ring_no").alias("first"), F.count(F.lit(1)).alias("n"), F.max("ring_no").alias("last")).where("first <> 0 or last <> n - 1"))))
 

@@ -104,7 +104,7 @@ QUERIES = {
     # rings
     "multipolygon_rings": lambda s, d: R.multipolygons(Dataset(s, d)).select("rel_id", "polygon_no", "ring_no", "vertex_no", "node_id"),
     "coastline_rings": lambda s, d: R.coastline(Dataset(s, d), *SHORE).select("part", "ring_no", "closed", "vertex_no", "node_id"),
-    "coastline_land_water": lambda s, d: R.land_and_water(R.coastline(Dataset(s, d), *SHORE)),
+    "coastline_land_water": lambda s, d: land_water(s, d),
     "coastline_window": lambda s, d: R.rings_in_window(R.coastline(Dataset(s, d), *SHORE), _box),
     "land_water_points": lambda s, d: R.classify_points(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)),
     "shore_ray_crossings": lambda s, d: R.ray_crossings(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)).groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n")),
@@ -156,6 +156,12 @@ def _degrees(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(spark, d).nodes.select("id", G.degrees(F.col("lon")).alias("lon"), G.degrees(F.col("lat")).alias("lat"))
 
 
+def land_water(spark: SparkSession, d: str) -> DataFrame:
+    """Closed rings of the shore: land or water, area to a tenth of a square metre, and node ids in order."""
+    rings = R.land_and_water(R.coastline(Dataset(spark, d), *SHORE))
+    return rings.select("is_land", F.round("area_m2", 1).alias("area_m2"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), "/").alias("nodes"))
+
+
 def backrefs_page(spark: SparkSession, d: str) -> DataFrame:
     """The page of the node with the smallest id among those in ways."""
     b = _back(spark, d)

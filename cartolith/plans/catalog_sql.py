@@ -6,6 +6,7 @@ import math
 
 from ..functions.geom import units
 from ..model import SCALE
+from . import rings_sql as RS
 from .catalog import BOX, CENTER, KEY, KEY2, NEAREST, PREFIX, RADIUS, SHORE, TRIANGLE, VALUE
 from .problems_sql import LOCATED, TAG_ROWS, current
 
@@ -257,9 +258,14 @@ FROM x p JOIN x q ON p.rel_id = q.rel_id AND p.ring_no = q.ring_no AND q.k = p.k
   (SELECT count(*) FROM (SELECT DISTINCT key, value FROM d)) AS tags, (SELECT sum(strlen(s))::BIGINT FROM (SELECT key AS s FROM d UNION SELECT value FROM d)) AS strings""",
     "verify_taginfo": _none_bad("totals equal tag rows", "keys sum their values", "ranks ordered", "combinations symmetric", "combinations fit", "tag combinations symmetric", "tag combinations fit"),
     "verify_search": _none_bad("grams occur", "values indexed"),
-    "verify_rings": _none_bad("vertices numbered", "rings closed", "rings enclose something", "vertices at their nodes", "polygons begin with their outer ring"),
+    "verify_rings": _none_bad("vertices numbered", "rings closed", "vertices at their nodes", "polygons begin with their outer ring"),
     "verify_backrefs": _none_bad(*(f"{kind}{check}" for kind in ("", "node members: ", "way members: ", "relation members: ") for check in ("pairs from references", "references have pairs", "pairs distinct"))),
 }
 SQL |= {
     "stored_query": SQL["query_tag_key_radius"], "stored_substring": SQL["substring_all"], "stored_ways_radius": SQL["ways_radius"],
     "stored_rels_radius": SQL["rels_radius"], "stored_ways_bbox": SQL["ways_bbox"]}
+SQL |= {
+    "multipolygon_rings": _with("m", "t", "r", "wr", "n", recursive=True, more=RS.MULTIPOLYGONS) + RS.MULTIPOLYGON_RINGS,
+    "coastline_rings": _with("t", "w", "wr", "n", recursive=True, more=RS.COAST) + RS.COASTLINE_RINGS,
+    "coastline_window": _with("t", "w", "wr", "n", recursive=True, more=RS.COAST) + RS.WINDOW,
+    "coastline_land_water": _with("t", "w", "wr", "n", recursive=True, more=RS.COAST).rstrip() + RS.LAND_WATER}
