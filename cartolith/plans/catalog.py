@@ -18,6 +18,8 @@ from .query import Query, Selection
 
 CENTER, RADIUS, NEAREST = (-36.32, 10.72), 0.05, 25
 BOX = (-36.45, 10.65, -36.25, 10.85)
+#: A box that reaches beyond the world.
+BEYOND = (-36.3, 10.7, 400.0, 300.0)
 TRIANGLE = [(-36.42, 10.66), (-36.22, 10.70), (-36.30, 10.86)]
 KEY, VALUE, KEY2 = "highway", "lane", "source"
 PATTERN, PREFIX = "place", "addr:"
@@ -85,6 +87,8 @@ QUERIES = {
     "backrefs_page": lambda s, d: backrefs_page(s, d),
     # places
     "nodes_bbox": lambda s, d: _space(s, d).nodes_in_bbox(_box),
+    "nodes_bbox_beyond": lambda s, d: _space(s, d).nodes_in_bbox(G.Box(*BEYOND)),
+    "rels_bbox_beyond": lambda s, d: _space(s, d).relations_in_bbox(G.Box(*BEYOND)),
     "ways_bbox": lambda s, d: _space(s, d).ways_in_bbox(_box),
     "rels_bbox": lambda s, d: _space(s, d).relations_in_bbox(_box),
     "nodes_radius": lambda s, d: _space(s, d).within_radius("node", *CENTER, RADIUS),
@@ -107,7 +111,7 @@ QUERIES = {
     "coastline_land_water": lambda s, d: land_water(s, d),
     "coastline_window": lambda s, d: R.rings_in_window(R.coastline(Dataset(s, d), *SHORE), _box),
     "land_water_points": lambda s, d: R.classify_points(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)),
-    "shore_ray_crossings": lambda s, d: R.ray_crossings(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)).groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n")),
+    "shore_ray_crossings": lambda s, d: R.ray_crossings(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)).withColumn("crossing_lon", F.round("crossing_lon", 7)),
     "ring_signed_area": lambda s, d: ring_areas(s, d),
     "mercator_to_wgs84": lambda s, d: mercator(s, d),
     # the same over stored tables

@@ -7,7 +7,7 @@ import math
 from ..functions.geom import units
 from ..model import SCALE
 from . import rings_sql as RS
-from .catalog import BOX, CENTER, KEY, KEY2, NEAREST, PREFIX, RADIUS, SHORE, TRIANGLE, VALUE
+from .catalog import BEYOND, BOX, CENTER, KEY, KEY2, NEAREST, PREFIX, RADIUS, SHORE, TRIANGLE, VALUE
 from .problems_sql import LOCATED, TAG_ROWS, current
 
 _CTE = {
@@ -162,7 +162,7 @@ _TRI = _with("d", more=f"b AS (SELECT DISTINCT key, value, hex(encode({_fold('va
 SELECT DISTINCT ('0x' || substr(h, 2 * i + 1, 6))::INTEGER AS gram, key, value FROM (SELECT key, value, h, unnest(range(0, length(h) // 2 - 2)) AS i FROM b)"""
 _SHORE = f"""sh AS (SELECT way_id, ax / {SCALE}.0::DOUBLE AS ax, ay / {SCALE}.0::DOUBLE AS ay, bx / {SCALE}.0::DOUBLE AS bx, by_ / {SCALE}.0::DOUBLE AS by_ FROM seg
   WHERE way_id IN (SELECT id FROM t WHERE etype = 'way' AND key = '{SHORE[0]}' AND value = '{SHORE[1]}')),
-cr AS (SELECT p.id, CASE WHEN s.ay < s.by_ THEN 1 ELSE -1 END AS direction FROM (SELECT id, lon / {SCALE}.0::DOUBLE AS lon, lat / {SCALE}.0::DOUBLE AS lat FROM n) p JOIN sh s
+cr AS (SELECT p.id, CASE WHEN s.ay < s.by_ THEN 1 ELSE -1 END AS direction, s.ax + (p.lat - s.ay) / (s.by_ - s.ay) * (s.bx - s.ax) AS crossing_lon FROM (SELECT id, lon / {SCALE}.0::DOUBLE AS lon, lat / {SCALE}.0::DOUBLE AS lat FROM n) p JOIN sh s
   ON p.lat >= least(s.ay, s.by_) AND p.lat < greatest(s.ay, s.by_)
   WHERE s.ay <> s.by_ AND (CASE WHEN s.ay < s.by_ THEN s.ax + (p.lat - s.ay) / (s.by_ - s.ay) * (s.bx - s.ax) ELSE s.bx + (p.lat - s.by_) / (s.ay - s.by_) * (s.ax - s.bx) END) > p.lon)"""
 
@@ -225,6 +225,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY what ORDER BY id) AS k, count(*)
   SELECT DISTINCT 'way' AS what, way_id AS id FROM wr, x WHERE node_id = x.node UNION SELECT 'relation', rel_id FROM m, x WHERE kind = 'node' AND ref_id = x.node)) p
 LEFT JOIN t ON t.etype = p.what AND t.id = p.id WHERE k <= 3 GROUP BY what, p.id""",
     "nodes_bbox": _with("n") + f"SELECT id FROM n WHERE {_in_box(BOX)}",
+    "nodes_bbox_beyond": _with("n") + f"SELECT id FROM n WHERE {_in_box((*BEYOND[:2], 180.0, 90.0))}",
+    "rels_bbox_beyond": _with("r") + f"SELECT id FROM r WHERE {_over_box((*BEYOND[:2], 180.0, 90.0))}",
     "ways_bbox": _with("wb") + f"SELECT id FROM wb WHERE {_over_box(BOX)}",
     "rels_bbox": _with("r") + f"SELECT id FROM r WHERE {_over_box(BOX)}",
     "nodes_radius": _with("n") + f"SELECT id, {_d2('lon', 'lat')}::DOUBLE AS d2 FROM n WHERE {_in_box(_AROUND)} AND {_d2('lon', 'lat')} <= {_R2}",
@@ -245,7 +247,7 @@ LEFT JOIN t ON t.etype = p.what AND t.id = p.id WHERE k <= 3 GROUP BY what, p.id
     "query_tag_polygon": _with("n", "t") + f"SELECT id FROM n WHERE {_in_box(_TBOX)} AND {_inside('lon', 'lat')} AND id IN (SELECT id FROM t WHERE etype = 'node' AND key = '{KEY2}')",
     "query_multi_bbox": _with("r", "t") + f"SELECT id FROM r WHERE {_over_box(BOX)} AND {_over_box((-36.35, 10.7, -36.2, 10.9))} AND id IN (SELECT id FROM t WHERE etype = 'relation' AND key = 'type')",
     "land_water_points": _with("n", "seg", "t", more=_SHORE) + "SELECT n.id, coalesce(sum(cr.direction), 0) > 0 AS is_land FROM n LEFT JOIN cr ON n.id = cr.id GROUP BY n.id",
-    "shore_ray_crossings": _with("n", "seg", "t", more=_SHORE) + "SELECT id, direction, count(*) AS n FROM cr GROUP BY ALL",
+    "shore_ray_crossings": _with("n", "seg", "t", more=_SHORE) + "SELECT id, round(crossing_lon, 7) AS crossing_lon, direction FROM cr",
     "ring_signed_area": f"""WITH v AS (SELECT rel_id, ring_no, vertex_no, lon, lat FROM {current('ring_vertices', 'rel_id, ring_no, vertex_no', 'rel_id IS NOT NULL AND ring_no IS NOT NULL AND vertex_no IS NOT NULL')}
   WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)),
 a AS (SELECT *, avg(lat) OVER (PARTITION BY rel_id, ring_no) AS mid, count(*) OVER (PARTITION BY rel_id, ring_no) AS c,
