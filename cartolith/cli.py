@@ -28,11 +28,12 @@ def parser() -> argparse.ArgumentParser:
 
 def classify(dataset: str, points: list[list[float]]) -> int:
     """Prints longitude, latitude and land or water of each point, by the dataset's coastline."""
-    from .operators import rings as R
+    from .operators.rings import shore_segments
+    from .operators.shore import classify_points
 
     spark = build_session()
     df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "id bigint, lon double, lat double")
-    land = dict(map(tuple, R.classify_points(df, R.shore_segments(Dataset(spark, dataset.rstrip("/")))).collect()))
+    land = dict(map(tuple, classify_points(df, shore_segments(Dataset(spark, dataset.rstrip("/")))).collect()))
     for k, (x, y) in enumerate(points):
         print(x, y, "land" if land[k] else "water")
     return 0

@@ -10,6 +10,7 @@ from ..model import KINDS, Dataset
 from ..operators import rings as R
 from ..operators import setops, verify
 from ..operators.backrefs import Backrefs
+from ..operators.shore import classify_points
 from ..operators.spatial import Spatial
 from ..operators.taginfo import Taginfo, shared_index
 from ..session import scratch
@@ -110,7 +111,7 @@ QUERIES = {
     "coastline_rings": lambda s, d: R.coastline(Dataset(s, d), *SHORE).select("part", "ring_no", "closed", "vertex_no", "node_id"),
     "coastline_land_water": lambda s, d: land_water(s, d),
     "coastline_window": lambda s, d: R.rings_in_window(R.coastline(Dataset(s, d), *SHORE), _box),
-    "land_water_points": lambda s, d: R.classify_points(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)),
+    "land_water_points": lambda s, d: classify_points(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)),
     "shore_ray_crossings": lambda s, d: R.ray_crossings(_degrees(s, d), R.shore_segments(Dataset(s, d), *SHORE)).withColumn("crossing_lon", F.round("crossing_lon", 7)),
     "ring_signed_area": lambda s, d: ring_areas(s, d),
     "mercator_to_wgs84": lambda s, d: mercator(s, d),
