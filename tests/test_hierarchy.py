@@ -1,8 +1,10 @@
 import random
+import uuid
 
 import pytest
 
 from cartolith.operators import hierarchy as H
+from cartolith.session import rounds
 
 
 def brute(links):
@@ -59,8 +61,7 @@ CASES = {
 RANDOM = [(random.Random(s).randrange(25), random.Random(s + 500).randrange(25)) for s in range(30)]
 
 
-@pytest.mark.parametrize("most", [0, 4096])
-@pytest.mark.parametrize("name", [*CASES, "random"])
+@pytest.mark.parametrize("name,most", [*((n, 4096) for n in [*CASES, "random"]), ("nulls", 0), ("self", 0), ("two loops", 0), ("random", 0)])
 def test_cases(spark, name, most, monkeypatch):
     monkeypatch.setattr(H, "GROUP_MOST", most)  # 0: everything as tables
     links = CASES.get(name, RANDOM)
@@ -93,12 +94,28 @@ def test_group(seed):
 
 
 def jobs(spark, do):
-    sc = spark.sparkContext
-    sc.setJobGroup("counted", "")
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "")
     do()
-    n = len(sc.statusTracker().getJobIdsForGroup("counted"))
     sc.setJobGroup("", "")
-    return n
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_long_loop_as_tables(spark, monkeypatch):
+    monkeypatch.setattr(H, "GROUP_MOST", 0)
+    n, tail = 40, 12
+    links = [(i, (i + 1) % n) for i in range(n)] + [(7, 1000)] + [(1000 + i, 1001 + i) for i in range(tail)] + [(2000, 3)]
+    rows = {r["rel_id"]: (r["state"], len(r["path"]), r["n_below"]) for r in H.hierarchy(spark.createDataFrame(links, "parent bigint, child bigint")).collect()}
+    assert all(rows[i] == ("cycle", n, n + tail + 1) for i in range(n)) and rows[2000] == ("tree", 1, n + tail + 1)
+    assert all(rows[1000 + i] == ("below", 0, tail - i) for i in range(tail + 1)) and len(rows) == n + tail + 2
+
+
+def test_loops_of_any_length_take_few_rounds(spark):
+    n = 200
+    df = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "parent bigint, child bigint")
+    with rounds(spark, n):
+        found = []
+        assert jobs(spark, lambda: found.append(H.loops(df))) < n / 2 and found[0].count() == n
 
 
 def test_few_jobs(spark):
